@@ -133,9 +133,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, e
     where = pack(pieces.drop("ids"), capacity, block_pieces)
     keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
     # Repeated rows have equal ids, so one copy of the ids serves all their places.
-    unique = pieces.dropDuplicates(keys)
-    on = [where[k].eqNullSafe(unique[k]) for k in keys]
-    return where.join(unique, on).select(*(where[c] for c in where.columns), unique["ids"])
+    unique = pieces.dropDuplicates(keys).select("ids", *(F.col(k).alias(f"_{k}") for k in keys))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return where.join(unique, on).select(*where.columns, "ids")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
