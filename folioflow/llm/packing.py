@@ -4,7 +4,9 @@ Every document becomes token ids plus an end id. Pieces go into sequences of a
 fixed capacity; each piece is placed where the sum, over residual gaps, of the
 squared number of open sequences with that gap becomes smallest (a new sequence
 is one of the choices). Pieces are offered from the longest to the shortest,
-and of equal choices the tightest one wins.
+and of equal choices the tightest one wins. What then stands in sequences that
+are not full is packed again, and at the end by tightest fit, so that few gaps
+stay.
 
 Scale: tokenizing is one map over the documents and its result (lengths and
 digests, or ids if wanted) is staged once. Packing needs only lengths, so it
@@ -35,8 +37,8 @@ from .tokens import slices, worker_tokenizer
 #: Capacity of a sequence and the id that ends a document.
 CAPACITY, END_ID = 1024, 2
 
-#: Pieces that one packing block holds.
-BLOCK_PIECES = 1 << 16
+#: Pieces that one packing block holds; rounds over sequences left open.
+BLOCK_PIECES, ROUNDS = 1 << 16, 6
 
 
 def piece_bounds(n: int, capacity: int) -> np.ndarray:
@@ -75,15 +77,15 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and offset of each size; sizes are from 1 to ``capacity``."""
+def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence number and offset of each size; sizes are from 1 to ``capacity``, longest first by default."""
     bins = np.empty(len(sizes), np.int64)
     offsets = np.empty(len(sizes), np.int64)
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
     count = np.zeros(capacity + 1, np.int64)
     never = np.iinfo(np.int64).max
     used = 0
-    for i in np.argsort(-sizes, kind="stable"):
+    for i in np.argsort(-sizes, kind="stable") if order is None else order:
         s = int(sizes[i])
         # Taking a sequence with gap g: N(g) falls by one and N(g - s) rises by one.
         change = np.where(count[s:capacity] > 0, 2 * (count[: capacity - s] - count[s:capacity]) + 2, never)
@@ -105,6 +107,55 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return bins, offsets
 
 
+def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """Longest first, each into the tightest open sequence."""
+    bins, offsets = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+    open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
+    some = np.zeros(capacity + 1, bool)
+    used = 0
+    for i in np.argsort(-sizes, kind="stable"):
+        s = int(sizes[i])
+        gap = s + int(some[s:].argmax())
+        if some[gap]:
+            bins[i] = open_at[gap].pop()
+            some[gap] = bool(open_at[gap])
+        else:
+            gap, bins[i] = capacity, used
+            used += 1
+        offsets[i] = capacity - gap
+        if gap > s:
+            open_at[gap - s].append(int(bins[i]))
+            some[gap - s] = True
+    return bins, offsets
+
+
+def pack_block(sizes: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of squares over all sizes, then again over what stands in sequences left open.
+
+    Full sequences stay. The others are emptied and packed anew, in turn in
+    random and in falling order, and last by tightest fit; a round counts only
+    if it takes no more sequences than before.
+    """
+    bins, offsets = sum_of_squares(sizes, capacity)
+    rng = np.random.default_rng(len(sizes))
+    for k in range(rounds + 1 if len(sizes) else 0):
+        fill = np.bincount(bins, weights=sizes).astype(np.int64)
+        loose = fill[bins] < capacity
+        part = sizes[loose]
+        if k == rounds:
+            new, at = best_fit(part, capacity)
+        else:
+            new, at = sum_of_squares(part, capacity, rng.permutation(len(part)) if k % 2 == 0 else None)
+        full = np.flatnonzero(fill == capacity)
+        if len(part) and len(full) + new.max() + 1 <= len(fill):
+            place = np.full(len(fill), -1)
+            place[full] = np.arange(len(full))
+            bins = place[bins]
+            bins[loose] = new + len(full)
+            offsets[loose] = at
+    return bins, offsets
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``.
 
@@ -117,7 +168,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
     names = [*pieces.columns, "sequence_id", "offset"]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
+        bins, offsets = pack_block(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)[names]
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
