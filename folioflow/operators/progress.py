@@ -56,8 +56,9 @@ def latest(updates: DataFrame, columns: list[str]) -> DataFrame:
 def completions(events: DataFrame) -> DataFrame:
     """Completion rows that count: (job, seq, ok), of known jobs and not after a success."""
     before = Window.partitionBy("job").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    seen = events.withColumns({"_known": F.max(F.col("added").cast("int")).over(before), "_done": F.max(F.col("ok").cast("int")).over(before)})
-    return seen.where((F.coalesce("_known", F.lit(0)) == 1) & F.col("ok").isNotNull() & (F.coalesce("_done", F.lit(0)) == 0)).drop("_known", "_done")
+    known = events.withColumn("_known", F.max(F.col("added").cast("int")).over(before)).where((F.col("_known") == 1) & F.col("ok").isNotNull())
+    seen = known.withColumn("_done", F.max(F.col("ok").cast("int")).over(before))
+    return seen.where(F.coalesce("_done", F.lit(0)) == 0).drop("_known", "_done")
 
 
 def newest(rows: DataFrame, order: str, most: int = HISTORY_ROWS) -> DataFrame:

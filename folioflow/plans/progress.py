@@ -45,10 +45,10 @@ def updates(df: DataFrame) -> DataFrame:
 
 _FOLD = _PARSED + """
 , u AS (SELECT job, seq, ts, event_type = 'view' AS added, CASE event_type WHEN 'purchase' THEN true WHEN 'error' THEN false END AS ok, progress, message FROM parsed),
- k AS (SELECT *, max(added::INT) OVER (PARTITION BY job ORDER BY seq) AS known, max(added::INT) OVER (PARTITION BY job ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known_before,
-   max(ok::INT) OVER (PARTITION BY job ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM u),
+ k AS (SELECT *, max(added::INT) OVER (PARTITION BY job ORDER BY seq) AS known, max(added::INT) OVER (PARTITION BY job ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known_before FROM u),
+ o AS (SELECT *, max(ok::INT) OVER (PARTITION BY job ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM k WHERE known_before = 1 AND ok IS NOT NULL),
  l AS (SELECT job, arg_max(progress, seq) FILTER (WHERE progress IS NOT NULL) AS progress, arg_max(message, seq) FILTER (WHERE message IS NOT NULL) AS message, max(seq) AS seq FROM k WHERE known = 1 GROUP BY job),
- c AS (SELECT job, seq, ts, ok FROM k WHERE known_before = 1 AND ok IS NOT NULL AND coalesce(done, 0) = 0)
+ c AS (SELECT job, seq, ts, ok FROM o WHERE coalesce(done, 0) = 0)
 """
 
 

@@ -1,0 +1,185 @@
+"""Truth tables, invariants and row-loop folds behind the relational rules."""
+
+import json
+
+from hypothesis import HealthCheck, Phase, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from folioflow.functions import coerce, names
+from folioflow.operators import keyed, layout, lists, merge, progress
+from folioflow.sources import config, files
+from folioflow.streaming import jobs
+
+def one(spark, *columns):
+    return list(spark.range(1).select(*columns).first())
+
+
+def test_types_disagree_on_two_markers(spark):
+    name = F.lit("a-dual.pdf.compare.pdf")
+    assert one(spark, names.server_type(name), names.client_type(name)) == ["compare", "dual"]
+
+
+def test_upper_case_name_is_its_own_product(spark):
+    assert one(spark, names.derived_name(F.lit("a.PDF"), F.lit("mono"), F.lit(2))) == ["a.PDF"]
+
+
+def test_percent_round_trip(spark):
+    for name in ("paper%2Fname.pdf", "paper%20name.pdf", "paper%25name.pdf", "a+b (c)'!~*.pdf", "é.pdf"):
+        code = names.percent_encoded(F.lit(name))
+        assert one(spark, names.percent_decoded(code)) == [name]
+    assert one(spark, names.percent_encoded(F.lit("-_.!~*'() x"))) == ["-_.!~*'()%20x"]
+
+
+def test_options(spark):
+    args = F.array(*map(F.lit, ["--a", "--a", "1", "--a=2", "x"]))
+    assert one(spark, names.option_value(args, "--a"), names.without_option(args, "--a")) == ["--a", ["1", "x"]]
+
+
+def test_booleans_differ(spark):
+    got = {v: one(spark, coerce.request_bool(F.lit(v)), coerce.client_bool(F.lit(v)), coerce.cli_bool(F.lit(v))) for v in ("TRUE", "1", "true", "no", "odd")}
+    assert got == {"TRUE": [False, True, True], "1": [False, True, True], "true": [True, True, True], "no": [False, False, False], "odd": [False, False, None]}
+
+
+def test_pdf_bytes(spark):
+    rows = [(1, bytearray(b"\xff\xfe%PDF-1.4 \x80 %%EOF\n")), (2, bytearray(b"<html>")), (3, bytearray(b"%PDF-1.4 cut")), (4, None), (5, bytearray(b"x" * 2000 + b"%PDF- %%EOF"))]
+    df = spark.createDataFrame(rows, "id int, b binary").select("id", coerce.is_pdf(F.col("b")).alias("ok"))
+    assert {r.id: r.ok for r in df.collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
+
+
+def test_percent_is_cut_in_floating_point(spark):
+    assert one(spark, progress.percent_of(F.lit(29), F.lit(100)), progress.percent_of(F.lit(1), F.lit(0))) == [28, None]
+
+
+def test_bar_falls_through_to_legacy(spark):
+    got = one(spark, progress.parsed_line(F.lit("Running 1/2 |##| 3/4 [00:01] |##| 5/8 [")))[0]
+    assert (got.rule, got.progress, got.message) == ("bar+legacy", 50, "translate 5/8")
+
+
+updates = st.lists(st.tuples(st.integers(0, 3), st.sampled_from(["add", "done", "fail", "log"]), st.integers(0, 100)), min_size=1, max_size=40)
+
+
+def fold(rows):
+    jobs_, done = {}, []
+    for seq, (job, kind, p) in enumerate(rows):
+        now = jobs_.get(job)
+        if kind == "add" and now is None:
+            jobs_[job] = now = {"progress": None, "ok": None}
+            continue
+        if now is None:
+            continue
+        if kind == "log":
+            now["progress"] = p
+        elif kind in ("done", "fail") and now["ok"] is not True:
+            now["ok"] = kind == "done"
+            done.append((job, seq, now["ok"]))
+    return jobs_, done
+
+
+def cases(strategy, n=40):
+    """Random cases of a strategy, so that one Spark job checks all of them."""
+    found = []
+
+    @settings(max_examples=n, deadline=None, database=None, phases=[Phase.generate], suppress_health_check=list(HealthCheck))
+    @given(strategy)
+    def collect(case):
+        found.append(case)
+
+    collect()
+    return found
+
+
+def test_folds_equal_a_row_loop(spark):
+    rows, state, done = [], {}, set()
+    for k, case in enumerate(cases(updates)):
+        case = [(job + 10 * k, kind, p) for job, kind, p in case]
+        own, ended = fold(case)
+        rows += [(j, s, kind == "add", {"done": True, "fail": False}.get(kind), p if kind == "log" else None, None) for s, (j, kind, p) in enumerate(case)]
+        state |= {j: x["progress"] for j, x in own.items()}
+        done |= {*ended}
+    df = spark.createDataFrame(rows, "job long, seq long, added boolean, ok boolean, progress int, message string")
+    assert {(r.job, r.seq, r.ok) for r in progress.completions(df).collect()} == done
+    assert {r.job: r.progress for r in progress.latest(df, ["progress"]).collect()} == state
+
+
+def test_one_active_entry_per_service(spark):
+    log, active = [], {}
+    for n, case in enumerate(cases(st.lists(st.tuples(st.integers(0, 3), st.sampled_from(["upsert", "activate", "deactivate"]), st.booleans()), min_size=1, max_size=25))):
+        for s, (k, op, on) in enumerate(case):
+            key, svc = k + 10 * n, k % 2 + 10 * n
+            log.append((key, svc, s, op, on))
+            if op == "activate" or op == "upsert" and on:
+                active[svc] = key
+            elif active.get(svc) == key:
+                del active[svc]
+    state = keyed.entries(spark.createDataFrame(log, "key long, service long, seq long, op string, active boolean")).collect()
+    assert {(r.service, r.key) for r in state if r.active} == set(active.items())
+
+
+def test_merge_lets_the_user_win_and_is_stable(spark):
+    side = st.dictionaries(st.sampled_from("abcdef"), st.one_of(st.none(), st.text("xyz", max_size=2)))
+    both = [({(k, x): v for x, v in d.items()}, {(k, x): v for x, v in u.items()}) for k, (d, u) in enumerate(cases(st.tuples(side, side)))]
+    defaults, user = ({k: v for case in both for k, v in case[i].items()} for i in (0, 1))
+    make = lambda d: spark.createDataFrame([(*k, v) for k, v in d.items()], "n int, k string, value string")
+    once = merge.merged_defaults(make(defaults), make(user), ["n", "k"])
+    assert {(r.n, r.k): r.value for r in once.collect()} == defaults | user
+    assert {(r.n, r.k): r.value for r in merge.merged_defaults(make(defaults), once, ["n", "k"]).collect()} == defaults | user
+
+
+def test_page_counts(spark):
+    for n in range(5):
+        pages = spark.createDataFrame([(1, p, 100.0, 50.0) for p in range(n)], "doc long, page int, w double, h double")
+        outs = [f(pages).select("out").distinct().count() for f in (layout.single_cut, layout.dual_cut, layout.crop_compare, layout.side_by_side, layout.halves)]
+        assert outs == [2 * n, n // 2 * 4, n // 2 * 2, (n + 1) // 2, 2 * n]
+
+
+def test_versions_order_like_tuples(spark):
+    texts = ["1", "1.0", "v1.2", "1.10", "", "2-rc1", "1.2.3.4.5"]
+    keys = [one(spark, lists.version_key(F.lit(t)))[0] for t in texts]
+    assert keys == [[1], [1, 0], [1, 2], [1, 10], [0], [2, 1], [1, 2, 3, 4]]
+
+
+def test_environment_and_renamed_key(spark):
+    env = F.create_map(*map(F.lit, ["PythonHome", "x", "PATH", "p", "PYTHONNOUSERSITE", "0"]))
+    old = F.create_map(*map(F.lit, ["send_temprature", "1", "b", "2"]))
+    got = one(spark, merge.isolated_environment(env), coerce.renamed_key(old, "send_temprature", "send_temperature"))
+    assert got == [{"PATH": "p", "PYTHONNOUSERSITE": "1"}, {"b": "2", "send_temperature": "1"}]
+
+
+def test_configuration_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"x": {"y": None, "z": [1]}, "t": "é"}))
+    (tmp_path / "b.toml").write_text('flag = true\n[s]\nname = "null"\n')
+    got = {tuple(r.path): r.value for r in config.read_json_config(spark, str(tmp_path / "a.json")).collect()}
+    assert got == {("x", "y"): "null", ("x", "z"): "[1]", ("t",): '"é"'}
+    toml = config.read_toml_config(spark, str(tmp_path / "b.toml"))
+    assert {tuple(r.path): r.value for r in toml.collect()} == {("flag",): "true", ("s", "name"): '"null"'}
+    config.write_json_config(toml, str(tmp_path / "out"))
+    assert json.loads(spark.read.text(str(tmp_path / "out")).first()[0])["config"] == {"flag": True, "s": {"name": "null"}}
+
+
+def test_files_and_requests(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/a.pdf").write_bytes(b"%PDF-1 %%EOF")
+    (tmp_path / "f/b.txt").write_bytes(b"no")
+    assert {(r["name"], r["size"]) for r in files.output_files(spark, str(tmp_path / "f")).collect()} == {("a.pdf", 12), ("b.txt", 2)}
+    assert sorted(r.valid for r in files.pdf_files(spark, str(tmp_path / "f")).collect()) == [False, True]
+    (tmp_path / "r.json").write_text(json.dumps({"task_id": " t ", "fileContent": "data:x;base64,aGVsbG8=", "threadNum": "0", "poolSize": "9999", "mono": "true", "protocol": "async"}))
+    r = files.read_requests(spark, str(tmp_path / "r.json")).first()
+    assert (r.task, bytes(r.content), r.threads, r.pool_size, r.mono, r.dual, r.asynchronous, r.engine) == ("t", b"hello", 8, 1000, True, False, True, "engine-1")
+
+
+def test_preferences(spark):
+    df = spark.createDataFrame([(1, '[{"key":"a","service":"s"},{"service":"t"}]')], "id int, value string")
+    assert [(r.id, r.key, r.activate, r.extraData) for r in config.preferences(df).collect()] == [(1, "a", False, {})]
+
+
+def test_stream_of_log_files_and_push(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/job1.log").write_text("translate x 1/4\ntranslate 2/4\n")
+    lines = files.log_lines(spark, str(tmp_path / "in"))
+    x = progress.parsed_line(F.col("line"))
+    rows = lines.select("job", F.lit(1).cast("long").alias("seq"), F.lit(True).alias("added"), F.lit(None).cast("boolean").alias("ok"), x["progress"].alias("progress"), x["message"].alias("message"))
+    sent = []
+    query = jobs.push(rows, sent.extend, None, str(tmp_path / "cp"))
+    assert query.awaitTermination(90)
+    assert [(r["job"], r["status"]) for r in sent] == [("job1", "running")] and sent[0]["progress"] in (25, 50)
