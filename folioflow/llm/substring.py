@@ -11,17 +11,18 @@ has a passage: the windows that share it. Passages go to the shard of their
 anchor, where a suffix automaton over words is built from the shard's distinct
 passages. Each state knows the smallest doc_id in which its sequences occur;
 streaming the passages through it gives matching statistics, and at each match
-of ``window`` words or more the smallest doc_id holding that very window.
+of ``window`` words or more the smallest doc_id holding that very window. A
+shard of one passage needs no automaton: all its windows have its smallest id.
 
 Automata of the whole corpus would have no size bound, so they are not
 broadcast: shards meet the passages that can match them instead.
 
 Scale: three passes over the texts, two of them dealt out by chunks of about
-``chunk_bytes``. Anchors and passages are merged per chunk and then per key
-before they are grouped, so many copies of one text cost one row per chunk. A
-shard whose anchor has more than ``shard_passages`` passages is split: its
-passages become single windows with their own hash as key. Lists of shared
-anchors and results return to their chunks by joins; nothing is collected.
+``chunk_bytes``; anchors travel as two numbers each. Passages are merged per
+chunk, so many copies of one text cost one row per chunk. An anchor with more
+than ``shard_rows`` rows is hot: its windows become passages of their own with
+their own hash as key, so no shard grows with a frequent phrase. Results return
+to their chunks as keys and ids; nothing is collected.
 
 Defined results: a null or empty text has no words and keeps nothing. A null
 doc_id counts as larger than all others. Rows with equal doc_id don't repeat
@@ -38,13 +39,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, staged
+from .common import cut
 
 WINDOW, ANCHOR = 13, 5
-CHUNK_BYTES, SHARD_PASSAGES, AUTOMATON_WORDS = 12_000_000, 20_000, 400_000
+CHUNK_BYTES, SHARD_ROWS = 12_000_000, 20_000
+_ID, _CHUNK = "__folio_id", "__folio_chunk"
 _LAST = (1 << 63) - 1
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -168,15 +170,18 @@ class SuffixAutomaton:
         return out
 
 
-def _chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Rows with _id (null last) and _chunk."""
+def _chunked(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """Rows with an id (null last), and the number of chunks they are dealt to by it."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(cut(size, chunk_bytes))).cast("int")
-    return docs.withColumns({"__folio_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__folio_chunk": chunk})
+    return docs.withColumn(_ID, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))), cut(size, chunk_bytes)
 
 
-def _anchor_rows(chunked: DataFrame, window: int, anchor: int) -> DataFrame:
-    """h, chunk and the smallest and largest id there, merged within each batch."""
+def _chunk_of(doc: Column, chunks: int) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(chunks)).cast("int")
+
+
+def _anchor_rows(docs: DataFrame, chunks: int, window: int, anchor: int) -> DataFrame:
+    """h, id: anchors of all documents; in a batch, the smallest and largest id per anchor and chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(window, anchor)
@@ -195,20 +200,42 @@ def _anchor_rows(chunked: DataFrame, window: int, anchor: int) -> DataFrame:
             chunk = batch.column(1).to_numpy(zero_copy_only=False)[row]
             order = np.lexsort((ids, chunk, h))
             h, ids, chunk = h[order], ids[order], chunk[order]
-            first = np.concatenate(([True], (h[1:] != h[:-1]) | (chunk[1:] != chunk[:-1])))
-            end = np.concatenate((np.flatnonzero(first)[1:] - 1, [len(h) - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(chunk[first], pa.int32()), pa.array(ids[first]), pa.array(ids[end])], ["h", "chunk", "least", "most"])
+            edge = (h[1:] != h[:-1]) | (chunk[1:] != chunk[:-1])
+            kept = np.concatenate(([True], edge)) | np.concatenate((edge, [True]))
+            yield pa.RecordBatch.from_arrays([pa.array(h[kept]), pa.array(ids[kept])], ["h", "id"])
+
+    return docs.select(_ID, _chunk_of(F.col(_ID), chunks), "text").mapInArrow(run, "h long, id long")
+
+
+def _marks(anchors: DataFrame, chunks: int, shard_rows: int) -> DataFrame:
+    """chunk, h, hot: anchors of two documents or more, in every chunk that has them."""
+    same = Window.partitionBy("h")
+    seen = anchors.select("h", "id", F.min("id").over(same).alias("lo"), F.max("id").over(same).alias("hi"), F.count("*").over(same).alias("n"))
+    return seen.where("lo < hi").select("h", _chunk_of(F.col("id"), chunks).alias("chunk"), (F.col("n") > shard_rows).alias("hot")).distinct()
 
-    return chunked.select("__folio_id", "__folio_chunk", "text").mapInArrow(run, "h long, chunk int, least long, most long")
 
+def _passage_rows(docs: DataFrame, marks: DataFrame, chunks: int, window: int, anchor: int) -> DataFrame:
+    """Distinct passages around shared anchors: h, chunk, hot, passage, smallest and largest id in the chunk.
 
-def _passage_rows(chunked: DataFrame, marks: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Distinct passages around shared anchors: chunk, h, passage, smallest and largest id in the chunk."""
+    Around a hot anchor every window is a passage of its own, with its own hash as h.
+    """
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        hasher, shared = Hasher(window, anchor), np.sort(right.column("h").to_numpy())
+        hasher = Hasher(window, anchor)
+        order = np.argsort(right.column("h").to_numpy())
+        shared, hot = right.column("h").to_numpy()[order], right.column("hot").to_numpy()[order]
         found: dict[bytes, list] = {}
-        for doc, text in zip(left.column("__folio_id").to_pylist(), left.column("text"), strict=True) if len(shared) else ():
+
+        def note(text: bytes, h: int, is_hot: bool, doc: int) -> None:
+            own = found.get(text)
+            if own is None:
+                found[text] = [h, is_hot, doc, doc]
+            elif doc < own[2]:
+                own[2] = doc
+            elif doc > own[3]:
+                own[3] = doc
+
+        for doc, text in zip(left.column(_ID).to_pylist(), left.column("text"), strict=True) if len(shared) else ():
             words = (text.as_py() or "").encode().split()
             at, mixed = hasher.anchors(words)
             if not len(at):
@@ -217,93 +244,110 @@ def _passage_rows(chunked: DataFrame, marks: DataFrame, window: int, anchor: int
             where = np.minimum(np.searchsorted(shared, signed), len(shared) - 1)
             hit = shared[where] == signed
             for p, a, b in passages(at, window):
-                if hit[p]:
-                    text_of = b" ".join(words[a:b])
-                    own = found.get(text_of)
-                    if own is None:
-                        found[text_of] = [int(signed[p]), doc, doc]
-                    else:
-                        own[1], own[2] = min(own[1], doc), max(own[2], doc)
-        chunk = left.column("__folio_chunk")[0].as_py() if left.num_rows else 0
+                if not hit[p]:
+                    continue
+                if hot[where[p]]:
+                    for i in range(a, b - window + 1):
+                        single = b" ".join(words[i : i + window])
+                        note(single, _key_of(single), True, doc)
+                else:
+                    note(b" ".join(words[a:b]), int(signed[p]), False, doc)
+        chunk = left.column(_CHUNK)[0].as_py() if left.num_rows else 0
         rows = list(found.values())
         return pa.table({
-            "chunk": pa.array([chunk] * len(rows), pa.int32()), "h": pa.array([r[0] for r in rows], pa.int64()),
-            "passage": pa.array([x.decode() for x in found], pa.string()),
-            "least": pa.array([r[1] for r in rows], pa.int64()), "most": pa.array([r[2] for r in rows], pa.int64()),
+            "h": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "hot": pa.array([r[1] for r in rows], pa.bool_()),
+            "passage": pa.array(list(found), pa.binary()), "least": pa.array([r[2] for r in rows], pa.int64()), "most": pa.array([r[3] for r in rows], pa.int64()),
         })
 
-    docs = chunked.select("__folio_id", "__folio_chunk", "text").groupBy("__folio_chunk")
-    kinds = "chunk int, h long, passage string, least long, most long"
-    return docs.cogroup(marks.groupBy("chunk")).applyInArrow(run, kinds)
+    lean = docs.select(_ID, "text", _chunk_of(F.col(_ID), chunks).alias(_CHUNK)).groupBy(_CHUNK)
+    return lean.cogroup(marks.groupBy("chunk")).applyInArrow(run, "h long, chunk int, hot boolean, passage binary, least long, most long")
 
 
-def _windows_of(rows: DataFrame, window: int) -> DataFrame:
-    """Passages as single windows, each its own shard key."""
-    words = F.split("passage", " ")
-    each = F.transform(F.sequence(F.lit(1), F.size(words) - window + 1), lambda i: F.array_join(F.slice(words, i, F.lit(window)), " "))
-    single = rows.select("chunk", F.explode(each).alias("passage"), "least", "most")
-    single = single.groupBy("chunk", "passage").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    return single.select("chunk", F.xxhash64("passage").alias("h"), "passage", "least", "most")
+def _key_of(passage: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(passage, 13) - (1 << 63)
 
 
-def _window_ids(distinct: DataFrame, parts: int, window: int) -> DataFrame:
-    """passage, ids: for each of its windows the smallest id that holds it."""
+def window_ids(passages_: dict[bytes, int], window: int) -> dict[bytes, list[int]]:
+    """For each window of each passage the smallest id that holds it; one number if it is the same for all.
 
-    def solved(rows: list[tuple[str, int]]) -> pa.RecordBatch:
-        automaton = SuffixAutomaton()
-        split = [p.split(" ") for p, _ in rows]
-        for words, (_, doc) in zip(split, rows, strict=True):
-            automaton.add(words, doc)
-        automaton.finish()
-        ids = [automaton.matching(words, window) for words in split]
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array(ids, pa.list_(pa.int64()))], ["passage", "ids"])
+    ``passages_``: the passages of one anchor, a reference shard, with their smallest ids.
+    """
+    if len(passages_) == 1:
+        return {p: [least] for p, least in passages_.items()}
+    automaton = SuffixAutomaton()
+    split = {p: p.split() for p in passages_}
+    for p, words in split.items():
+        automaton.add(words, passages_[p])
+    automaton.finish()
+    out = {}
+    for p, words in split.items():
+        ids = automaton.matching(words, window)
+        out[p] = ids[:1] if ids.count(ids[0]) == len(ids) else ids
+    return out
+
+
+def _known(rows: DataFrame, parts: int, window: int) -> DataFrame:
+    """chunk, key, hot, ids for the passages of a chunk that smaller ids repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[str, int]] = []
-        size, last = 0, None
+        group: dict[bytes, int] = {}
+        users: list[tuple[int, bool, bytes, int]] = []
+        out: list[tuple] = []
+        last = None
+
+        def finish() -> None:
+            ids = window_ids(group, window)
+            for chunk, hot, p, most in users:
+                if min(ids[p]) < most:
+                    out.append((chunk, _key_of(p), hot, ids[p]))
+
+        def batch_of() -> pa.RecordBatch:
+            cols = zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64())), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["chunk", "key", "hot", "ids"])
+
         for batch in batches:
-            for h, p, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if h != last and size >= AUTOMATON_WORDS:
-                    yield solved(held)
-                    held, size = [], 0
-                held.append((p, doc))
-                size += p.count(" ") + 1
-                last = h
-        if held:
-            yield solved(held)
-
-    shards = distinct.select("h", "passage", "least").repartition(parts, "h").sortWithinPartitions("h")
-    return shards.mapInArrow(run, "passage string, ids array<long>")
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES, shard_passages: int = SHARD_PASSAGES) -> tuple[DataFrame, DataFrame]:
-    """Chunked documents, and per chunk the passages whose windows occur in smaller ids."""
-    chunked = _chunked(docs, chunk_bytes)
-    anchors = staged(_anchor_rows(chunked, window, anchor))
-    shared = anchors.groupBy("h").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("h")
-    marks = anchors.select("h", "chunk").join(shared, "h").distinct()
-    rows = staged(_passage_rows(chunked, marks, window, anchor))
-    distinct = staged(rows.groupBy("h", "passage").agg(F.min("least").alias("least")))
-    n = distinct.count()
-    hot = staged(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > shard_passages).select("h"))
-    if hot.limit(1).count():
-        single = _windows_of(rows.join(hot, "h", "left_semi"), window)
-        rows = staged(rows.join(hot, "h", "left_anti").select("chunk", "h", "passage", "least", "most").unionByName(single))
-        distinct = rows.groupBy("h", "passage").agg(F.min("least").alias("least"))
-    ids = _window_ids(distinct, cut(n, shard_passages), window)
-    known = rows.select("chunk", "passage", "most").join(ids, "passage").where(F.array_min("ids") < F.col("most"))
-    return chunked, known.select("chunk", "passage", "ids")
-
-
-def _covered(words: list[bytes], doc: int, hasher: Hasher, known: dict[bytes, list[int]]) -> np.ndarray:
+            for h, chunk, hot, p, least, most in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if h != last:
+                    if users:
+                        finish()
+                    if len(out) >= 20_000:
+                        yield batch_of()
+                        out.clear()
+                    group, users, last = {}, [], h
+                if least < group.get(p, _LAST + 1):
+                    group[p] = least
+                users.append((chunk, hot, p, most))
+        if users:
+            finish()
+        if out:
+            yield batch_of()
+
+    shards = rows.repartition(parts, "h").sortWithinPartitions("h")
+    return shards.mapInArrow(run, "chunk int, key long, hot boolean, ids array<long>")
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame, int]:
+    """Documents with an id, per chunk the passages whose windows occur in smaller ids, and the number of chunks."""
+    docs, chunks = _chunked(docs, chunk_bytes)
+    marks = _marks(_anchor_rows(docs, chunks, window, anchor), chunks, shard_rows)
+    rows = _passage_rows(docs, marks, chunks, window, anchor)
+    return docs, _known(rows, chunks, window), chunks
+
+
+def _covered(words: list[bytes], doc: int, hasher: Hasher, known: dict[int, list[int]], hot: bool) -> np.ndarray:
     """Which words stand in a window that a smaller id holds."""
     edge = np.zeros(len(words) + 1, np.int64)
     window = hasher.window
     at, _ = hasher.anchors(words) if known else ((), None)
     for _, a, b in passages(np.asarray(at), window) if len(at) else ():
-        ids = known.get(b" ".join(words[a:b]))
+        ids = known.get(_key_of(b" ".join(words[a:b])))
+        if ids is not None and len(ids) == 1:
+            if ids[0] < doc:
+                edge[a] += 1
+                edge[b] -= 1
+            continue
         if ids is None:
-            ids = [known.get(b" ".join(words[i : i + window]), (_LAST,))[0] for i in range(a, b - window + 1)] if known.get(b"") else ()
+            ids = [known.get(_key_of(b" ".join(words[i : i + window])), (_LAST,))[0] for i in range(a, b - window + 1)] if hot else ()
         for i, least in enumerate(ids, a):
             if least < doc:
                 edge[i] += 1
@@ -311,31 +355,25 @@ def _covered(words: list[bytes], doc: int, hasher: Hasher, known: dict[bytes, li
     return np.cumsum(edge[:-1]) > 0
 
 
-def _known_of(right: pa.Table, window: int) -> dict[bytes, list[int]]:
-    """Results by passage; the empty key says that there are single windows among them."""
-    known: dict[bytes, list[int]] = {p.encode(): ids for p, ids in zip(right.column("passage").to_pylist(), right.column("ids").to_pylist(), strict=True)}
-    if any(len(ids) == 1 for ids in known.values()):
-        known[b""] = [1]
-    return known
-
-
-def _applied(chunked: DataFrame, known: DataFrame, columns: list[str], kinds: str, make: Callable, window: int, anchor: int) -> DataFrame:
-    """Run ``make(table, covered by row, words by row)`` over every chunk."""
+def _applied(found: tuple[DataFrame, DataFrame, int], columns: list[str], kinds: str, make: Callable, window: int, anchor: int) -> DataFrame:
+    """Run ``make(table, words by row, covered words by row)`` over every chunk."""
+    docs, known, chunks = found
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        hasher, ids = Hasher(window, anchor), _known_of(right, window)
+        hasher = Hasher(window, anchor)
+        ids = dict(zip(right.column("key").to_pylist(), right.column("ids").to_pylist(), strict=True))
+        hot = any(right.column("hot").to_pylist())
         words = [(t.as_py() or "").encode().split() for t in left.column("text")]
-        covered = [_covered(w, d, hasher, ids) for w, d in zip(words, left.column("__folio_id").to_pylist(), strict=True)]
+        covered = [_covered(w, d, hasher, ids, hot) for w, d in zip(words, left.column(_ID).to_pylist(), strict=True)]
         return make(left, words, covered)
 
-    docs = chunked.select(*dict.fromkeys([*columns, "text", "__folio_id", "__folio_chunk"])).groupBy("__folio_chunk")
-    return docs.cogroup(known.groupBy("chunk")).applyInArrow(run, kinds)
+    lean = docs.select(*dict.fromkeys([*columns, "text", _ID]), _chunk_of(F.col(_ID), chunks).alias(_CHUNK)).groupBy(_CHUNK)
+    return lean.cogroup(known.groupBy("chunk")).applyInArrow(run, kinds)
 
 
 def dedup_digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, **sizes: int) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the kept words of every row."""
     docs = docs.select("doc_id", "text")
-    chunked, known = repeats(docs, window, anchor, **sizes)
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def make(left: pa.Table, words: list[list[bytes]], covered: list[np.ndarray]) -> pa.Table:
@@ -345,7 +383,8 @@ def dedup_digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, *
             "n_removed": pa.array([int(c.sum()) for c in covered], pa.int64()), "kept_sha256": pa.array(kept, pa.string()),
         })
 
-    return _applied(chunked, known, ["doc_id"], f"doc_id {key}, n_words long, n_removed long, kept_sha256 string", make, window, anchor)
+    found = repeats(docs, window, anchor, **sizes)
+    return _applied(found, ["doc_id"], f"doc_id {key}, n_words long, n_removed long, kept_sha256 string", make, window, anchor)
 
 
 _TOKEN = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
@@ -365,7 +404,6 @@ def cut_text(text: str, covered: np.ndarray) -> str:
 
 def strip_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, **sizes: int) -> DataFrame:
     """The rows of ``docs`` with repeats cut out of ``text``; rows left without a word go."""
-    chunked, known = repeats(docs, window, anchor, **sizes)
     columns = docs.columns
     shape = docs.schema
 
@@ -375,4 +413,4 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, *
         kept = pa.array([not (len(c) and c.all()) for c in covered], pa.bool_())
         return left.set_column(left.schema.get_field_index("text"), "text", pa.array(new, pa.string())).select(columns).filter(kept)
 
-    return _applied(chunked, known, columns, shape, make, window, anchor)
+    return _applied(repeats(docs, window, anchor, **sizes), columns, shape, make, window, anchor)

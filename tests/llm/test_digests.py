@@ -234,7 +234,7 @@ def test_mixing_by_weight_prefers_heavy_rows(spark):
 @pytest.mark.parametrize("shard", [20_000, 1])
 def test_substring(docs, shard):
     rows, df = docs
-    got = substring.dedup_digests(df, chunk_bytes=20_000, shard_passages=shard).collect()
+    got = substring.dedup_digests(df, chunk_bytes=20_000, shard_rows=shard).collect()
     expected = Counter()
     for r, (doc, hit) in zip(rows, repeats_brute(rows, 13)):
         w = words(r[1])
