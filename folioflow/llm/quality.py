@@ -4,7 +4,8 @@ Each text gives rule statistics (counts of words, symbols, repeated lines and
 words, upper case, punctuation). Documents failing the base rules are rejected.
 The others get an anomaly score from an isolation forest: short mean path
 lengths over random splits mark rows that few splits separate from the rest.
-The threshold comes from labelled rows.
+The threshold, and which statistics
+are split on, come from labelled rows.
 
 Training uses at most ``fit_rows`` labelled rows, those with the smallest
 hashes of doc_id; the statistics and verdicts cover every whole text.
@@ -35,6 +36,8 @@ MIN_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = "#*$%&|<>"
 #: Labelled rows to learn from, trees, rows a tree, and the share of good rows that must stay.
 FIT_ROWS, TREES, TREE_ROWS, GOOD_KEPT = 8192, 100, 256, 0.998
+#: Most features that the forest splits on, and trees while they are chosen.
+MOST_COLUMNS, CHOOSING_TREES = 4, 30
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -143,13 +146,14 @@ class IsolationForest:
 
 @dataclass
 class QualityModel:
-    """A forest and its threshold; without a forest the base rules alone decide."""
+    """A forest over some of the features and its threshold; without a forest the base rules alone decide."""
 
     forest: IsolationForest | None
     threshold: float
+    columns: tuple[int, ...] = ()
 
     def scores(self, features: list[tuple[float, ...]]) -> np.ndarray:
-        return self.forest.score(np.array(features)) if self.forest and features else np.zeros(len(features))
+        return self.forest.score(np.array(features)[:, self.columns]) if self.forest and features else np.zeros(len(features))
 
 
 def calibrate(scores: np.ndarray, good: np.ndarray, kept: float = GOOD_KEPT) -> float:
@@ -163,6 +167,30 @@ def calibrate(scores: np.ndarray, good: np.ndarray, kept: float = GOOD_KEPT) ->
     return float((t + above[0]) / 2) if len(above) else float(t)
 
 
+def chosen_columns(x: np.ndarray, good: np.ndarray) -> tuple[int, ...]:
+    """Features on which a forest makes fewest errors, added one by one.
+
+    Splits on features in which good rows differ widely hide what sets bad rows
+    apart, so only features that help on labelled rows are split on.
+    """
+    best: tuple[int, ...] = ()
+    least = int((~good).sum()) + 1
+    while len(best) < MOST_COLUMNS:
+        found = None
+        for f in range(x.shape[1]):
+            if f not in best and np.ptp(x[:, f]) > 0:
+                part = x[:, (*best, f)]
+                scores = IsolationForest(part, CHOOSING_TREES).score(part)
+                t = calibrate(scores, good)
+                errors = int((scores[good] > t).sum() + (scores[~good] <= t).sum())
+                if errors < least:
+                    least, found = errors, f
+        if found is None:
+            return best
+        best = (*best, found)
+    return best
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
     """Learn from at most ``fit_rows`` labelled rows; the forest sees good and bad ones alike."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").distinct()
@@ -182,8 +210,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quality
     x, good = rows[names].to_numpy(), rows["quality"].to_numpy() == 1
     if len(x) < 16 or good.all() or not good.any():
         return QualityModel(None, 1.0)
-    forest = IsolationForest(x[good])
-    return QualityModel(forest, calibrate(forest.score(x), good))
+    columns = chosen_columns(x, good)
+    if not columns:
+        return QualityModel(None, 1.0)
+    forest = IsolationForest(x[:, columns])
+    return QualityModel(forest, calibrate(forest.score(x[:, columns]), good), columns)
 
 
 def judge(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -2,11 +2,12 @@
 
 Folding lower-cases, maps homoglyphs of other scripts and accented letters to
 Latin letters, digits and signs inside words to the letters they stand for,
-and drops what is left between words. The lexicon is learned: folded words far
-more frequent in toxic labelled rows get their log odds as weight. Words also
-seen in clean rows get exception phrases, word pairs that hold them and occur
-in clean rows only. A text's matched weight, exceptions taken away, is
-normalised by its length and turned into a probability by a logistic curve.
+and drops what is left between words. The lexicon is learned: folded words and
+stems (word beginnings) more frequent in toxic labelled rows get the logarithm
+of how much more frequent they are as weight. Words also seen in clean rows get
+exception phrases, word pairs that hold them and occur in clean rows only. A
+text's matched weight, exceptions taken away, is normalised by its length and
+turned into a probability by a logistic curve.
 
 Learning uses at most ``fit_rows`` labelled rows, those with the smallest
 hashes of doc_id; exact repeats of a text count once.
@@ -32,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, staged
 
 #: Labelled rows to learn from; most words in the lexicon and phrases beside it.
-FIT_ROWS, LEXICON, PHRASES = 20_000, 500, 500
-#: A lexicon word needs so many toxic rows, such a share of them, and such log odds.
-LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 5, 0.02, 3.0
+FIT_ROWS, LEXICON, PHRASES, CANDIDATES = 20_000, 2000, 500, 50_000
+#: A lexicon term needs so many toxic rows, such a share of them, and such log odds; letters of stems.
+LEAST_ROWS, LEAST_SHARE, LEAST_ODDS, STEM = 5, 0.01, 1.5, (5, 9)
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -87,11 +88,16 @@ def fold_text(text: str | None) -> str:
     return f" {' '.join(w for w in words if w)} "
 
 
+def terms_of(word: str) -> list[str]:
+    """A word as a lexicon entry, and its stems, which end in a star."""
+    return [word, *(word[:k] + "*" for k in range(STEM[0], min(len(word), STEM[1] + 1)))]
+
+
 class Lexicon:
-    """Weights of words, exception phrases and the logistic curve."""
+    """Weights of words and stems, exception phrases and the logistic curve."""
 
-    def __init__(self, words: dict[str, float], phrases: dict[str, float], slope: float = 0.0, offset: float = 0.0):
-        self.words, self.phrases, self.slope, self.offset = words, phrases, slope, offset
+    def __init__(self, words: dict[str, float], phrases: dict[str, float], curve: tuple[float, ...] = ()):
+        self.words, self.phrases, self.curve = words, phrases, curve
         self.automaton = None
 
     def __getstate__(self) -> dict:
@@ -103,54 +109,97 @@ class Lexicon:
 
             self.automaton = ahocorasick.Automaton()
             for k, v in self.words.items():
-                self.automaton.add_word(f" {k} ", v)
+                text = f" {k[:-1]}" if k.endswith("*") else f" {k} "
+                self.automaton.add_word(text, (len(text), v))
             for k, v in self.phrases.items():
-                self.automaton.add_word(f" {k} ", -v)
+                self.automaton.add_word(f" {k} ", (len(k) + 2, -v))
             self.automaton.make_automaton()
         return self.automaton
 
-    def matched(self, text: str | None) -> float:
-        """Matched weight per text, normalised by length."""
-        if not self.words:
-            return 0.0
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """Matched weight less exceptions, the same by length in two ways, and the length's logarithm.
+
+        Of all entries that match at a word the longest one counts.
+        """
         folded = fold_text(text)
-        weight = sum(v for _, v in self._built().iter(folded))
-        return max(0.0, weight) / (1.0 + math.log1p(folded.count(" ") / 400.0))
+        n = max(1, folded.count(" ") - 1)
+        best: dict[int, tuple[int, float]] = {}
+        less = 0.0
+        for end, (size, weight) in self._built().iter(folded) if self.words else ():
+            if weight < 0:
+                less += weight
+            elif size > best.get(end - size, (0, 0.0))[0]:
+                best[end - size] = (size, weight)
+        total = max(0.0, sum(w for _, w in best.values()) + less)
+        return total / 10, total / math.sqrt(n), 10 * total / (n + 20), math.log1p(n) / 5
 
     def score(self, text: str | None) -> float:
-        if not self.words:
+        if not self.words or not self.curve:
             return 0.0
-        return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, self.slope * self.matched(text) + self.offset))))
+        at = self.curve[-1] + sum(c * x for c, x in zip(self.curve, self.features(text), strict=False))
+        return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, at))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and offset of a slightly shrunk logistic regression, by Newton steps."""
-    a = np.stack([x, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, ...]:
+    """Coefficients, and the offset last, of a slightly shrunk logistic regression, by Newton steps."""
+    a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.eye(2) * 1e-2
+        h = (a * (p * (1 - p))[:, None]).T @ a + np.eye(len(w)) * 1e-2
         step = np.linalg.solve(h, a.T @ (y - p) - 1e-2 * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
-
-
-def _count_rows(sample: DataFrame) -> DataFrame:
-    """term, toxic rows and clean rows with it; pairs are counted beside words."""
+    return tuple(float(v) for v in w)
+
+
+def count_terms(texts: list[str | None], among: set[str] | None = None) -> tuple[dict[str, list[int]], int]:
+    """Texts and places that hold each term, and the number of words; only terms of ``among`` if given."""
+    out: dict[str, list[int]] = {}
+    total = 0
+    for text in texts:
+        seen: set[str] = set()
+        words = fold_text(text).split()
+        total += len(words)
+        for w in words:
+            for t in terms_of(w):
+                if among is None or t in among:
+                    own = out.setdefault(t, [0, 0])
+                    own[1] += 1
+                    if t not in seen:
+                        seen.add(t)
+                        own[0] += 1
+    return out, total
+
+
+def _counted(texts: DataFrame, among: set[str] | None = None) -> DataFrame:
+    """term, texts, places over all rows of ``texts``; the empty term counts texts and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
         for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in {*fold_text(text).split()}:
-                    counts[toxic][w] = counts[toxic].get(w, 0) + 1
-        terms = [*{**counts[0], **counts[1]}]
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([counts[k].get(t, 0) for t in terms], pa.int64()) for k in (1, 0))], ["term", "toxic", "clean"])
-
-    got = sample.mapInArrow(run, "term string, toxic long, clean long")
-    return got.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+            found, words = count_terms(batch.column(0).to_pylist(), among)
+            found[""] = [batch.num_rows, words]
+            cols = [pa.array(list(found), pa.string()), *(pa.array([v[k] for v in found.values()], pa.int64()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(cols, ["term", "texts", "places"])
+
+    got = texts.select("text").mapInArrow(run, "term string, texts long, places long")
+    return got.groupBy("term").agg(F.sum("texts").alias("texts"), F.sum("places").alias("places"))
+
+
+def weights(bad: dict[str, tuple[int, int]], good: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Log rates of terms in toxic against clean texts, for terms with enough of both support and odds."""
+    n, words = bad[""]
+    m, others = good[""]
+    found = {}
+    for t, (texts, places) in bad.items():
+        if t and texts >= LEAST_ROWS and texts >= LEAST_SHARE * n:
+            c_texts, c_places = good.get(t, (0, 0))
+            odds = math.log((texts + 0.5) / (n - texts + 0.5)) - math.log((c_texts + 0.5) / (m - c_texts + 0.5))
+            rate = math.log((places + 0.5) / (words + 1)) - math.log((c_places + 0.5) / (others + 1))
+            if odds >= LEAST_ODDS and rate > 0:
+                found[t] = rate
+    return dict(sorted(found.items(), key=lambda kv: (-kv[1], kv[0]))[:LEXICON])
 
 
 def _pairs(sample: DataFrame, words: set[str]) -> DataFrame:
@@ -175,31 +224,30 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, held_out_o
     chosen = chosen.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit_rows)  # at most fit_rows narrow rows: safe to broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").distinct()
-    from .common import staged
-
     sample = staged(sample)
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
-    if not bad or not good:
+    rows = lambda frame: {r["term"]: (r["texts"], r["places"]) for r in frame.collect()}
+    toxic, clean = sample.where("toxic = 1"), sample.where("toxic = 0")
+    likely = _counted(toxic).where(F.col("texts") >= LEAST_ROWS).orderBy(F.desc(F.col("term") == ""), F.desc("texts"), "term").limit(CANDIDATES)
+    bad = rows(likely) if toxic.count() >= LEAST_ROWS else {}
+    good = rows(_counted(clean, {*bad})) if bad else {}
+    if not bad.get("", (0, 0))[0] or not good.get("", (0, 0))[0]:
         return Lexicon({}, {})
-    odds = F.log((F.col("toxic") + 0.5) / (bad - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (good - F.col("clean") + 0.5))
-    counted = _count_rows(sample).withColumn("odds", odds)
-    enough = (F.col("toxic") >= LEAST_ROWS) & (F.col("toxic") >= LEAST_SHARE * bad) & (F.col("odds") >= LEAST_ODDS)
-    found = counted.where(enough).orderBy(F.desc("odds"), "term").limit(LEXICON).collect()
-    words = {r["term"]: r["odds"] for r in found}
+    words = weights(bad, good)
     phrases: dict[str, float] = {}
-    if mixed := {r["term"] for r in found if r["clean"]}:
-        held = _pairs(sample, mixed).where((F.col("toxic") == 0) & (F.col("clean") >= 2)).orderBy(F.desc("clean"), "term").limit(PHRASES).collect()
+    if mixed := {t for t in words if not t.endswith("*") and t in good}:
+        held = _pairs(sample, mixed).where((F.col("toxic") == 0) & (F.col("clean") >= 5)).orderBy(F.desc("clean"), "term").limit(PHRASES).collect()
         phrases = {r["term"]: max(words.get(w, 0.0) for w in r["term"].split()) for r in held}
     lexicon = Lexicon(words, phrases)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    names = [f"x{k}" for k in range(len(lexicon.features("")))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.float64()), pa.array([shared.value.matched(t.as_py()) for t in batch.column(1)], pa.float64())], ["y", "x"])
+            x = [shared.value.features(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.float64()), *(pa.array([v[k] for v in x], pa.float64()) for k in range(len(names)))], ["y", *names])
 
-    points = sample.mapInArrow(run, "y double, x double").limit(fit_rows).toPandas().sort_values(["y", "x"])
-    lexicon.slope, lexicon.offset = logistic(points["x"].to_numpy(), points["y"].to_numpy())
+    points = sample.mapInArrow(run, "y double, " + ", ".join(f"{c} double" for c in names)).limit(2 * fit_rows).toPandas().sort_values(["y", *names])
+    lexicon.curve = logistic(points[names].to_numpy(), points["y"].to_numpy())
     return lexicon
 
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from folioflow.llm import langmodel, language, media, mixing, packing, quality, rans, simhash, substring, toxicity
@@ -251,7 +252,7 @@ def test_strip_repeats_keeps_columns_and_space(odd):
         if not (hit and all(hit)):
             expected[doc, tuple(x for x, h in zip(words(r[1]), hit) if not h)] += 1
     assert Counter((g.doc_id, tuple(words(g.text))) for g in got) == expected and got[0].asDict().keys() == set(df.columns)
-    assert substring.cut_text("a  b\nc d\te", np.array([0, 1, 1, 0, 0])) == "a  d\te"
+    assert substring.cut_text(b"a  b\nc d\te", np.array([0, 1, 1, 0, 0])) == "a  d\te"
 
 
 def test_toxicity(spark, sf_dir, odd):
@@ -269,10 +270,10 @@ def test_toxicity(spark, sf_dir, odd):
 
 def test_toxicity_exceptions(spark):
     rows = [(i, "the killer speaks" if i % 2 else "a killer whale swims" if i % 4 == 0 else "calm sea") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.concat("text", F.lit(" no "), F.col("doc_id").cast("string")))
     labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
-    lexicon = toxicity.Lexicon({"killer": 4.0}, {"killer whale": 4.0}, 2.0, -4.0)
-    assert lexicon.score("the killer speaks") > 0.5 > lexicon.score("a killer whale swims")
-    assert labels.count() == 400
+    lexicon = toxicity.fit(df, labels)
+    assert "killer whale" in lexicon.phrases and lexicon.score("the killer speaks") > 0.5 > lexicon.score("a killer whale swims")
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 1000, 40_000])
