@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioflow import importable
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -36,6 +38,7 @@ def literal(value: str | None) -> str:
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run input SQL; ``{name}`` stands for a table."""
     names = {*re.findall(r"\{(\w+)\}", sql)}
+    importable(spark)
     return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
 

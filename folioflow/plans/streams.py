@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow import importable
 from folioflow.streaming.jobs import snapshots
 
 from . import progress
@@ -17,6 +18,7 @@ _SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, val
 
 def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest snapshot per job after a stream has read all events, file by file."""
+    importable(spark)
     events = spark.readStream.schema(_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     events.createOrReplaceTempView(view := f"events_{uuid.uuid4().hex}")
     lines = spark.sql(progress._LINES.replace("{events}", view))
