@@ -18,7 +18,8 @@ Automata of the whole corpus would have no size bound, so they are not
 broadcast: shards meet the passages that can match them instead.
 
 Scale: three passes over the texts, two of them dealt out by chunks of about
-``chunk_bytes``; anchors travel as two numbers each. Passages are merged per
+``chunk_bytes``; anchors travel as two numbers each
+and texts compressed. Passages are merged per
 chunk, so many copies of one text cost one row per chunk. An anchor with more
 than ``shard_rows`` rows is hot: its windows become passages of their own with
 their own hash as key, so no shard grows with a frequent phrase. Results return
@@ -39,8 +40,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 
@@ -180,6 +183,27 @@ def _chunk_of(doc: Column, chunks: int) -> Column:
     return F.pmod(F.xxhash64(doc), F.lit(chunks)).cast("int")
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """The same rows with ``text`` as compressed bytes, so that a shuffle writes less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            small = pa.array([None if t is None else compress(t.encode()) for t in batch.column(at).to_pylist()], pa.binary())
+            yield batch.set_column(at, "text", small)
+
+    kinds = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in rows.schema])
+    return rows.mapInArrow(run, kinds)
+
+
+def _texts(column: pa.ChunkedArray) -> Iterator[bytes | None]:
+    expand = zstandard.ZstdDecompressor().decompress
+    for t in column:
+        raw = t.as_py()
+        yield None if raw is None else expand(raw)
+
+
 def _anchor_rows(docs: DataFrame, chunks: int, window: int, anchor: int) -> DataFrame:
     """h, id: anchors of all documents; in a batch, the smallest and largest id per anchor and chunk."""
 
@@ -235,8 +259,8 @@ def _passage_rows(docs: DataFrame, marks: DataFrame, chunks: int, window: int, a
             elif doc > own[3]:
                 own[3] = doc
 
-        for doc, text in zip(left.column(_ID).to_pylist(), left.column("text"), strict=True) if len(shared) else ():
-            words = (text.as_py() or "").encode().split()
+        for doc, text in zip(left.column(_ID).to_pylist(), _texts(left.column("text")), strict=True) if len(shared) else ():
+            words = (text or b"").split()
             at, mixed = hasher.anchors(words)
             if not len(at):
                 continue
@@ -259,7 +283,7 @@ def _passage_rows(docs: DataFrame, marks: DataFrame, chunks: int, window: int, a
             "passage": pa.array(list(found), pa.binary()), "least": pa.array([r[2] for r in rows], pa.int64()), "most": pa.array([r[3] for r in rows], pa.int64()),
         })
 
-    lean = docs.select(_ID, "text", _chunk_of(F.col(_ID), chunks).alias(_CHUNK)).groupBy(_CHUNK)
+    lean = _packed(docs.select(_ID, "text", _chunk_of(F.col(_ID), chunks).alias(_CHUNK))).groupBy(_CHUNK)
     return lean.cogroup(marks.groupBy("chunk")).applyInArrow(run, "h long, chunk int, hot boolean, passage binary, least long, most long")
 
 
@@ -356,18 +380,19 @@ def _covered(words: list[bytes], doc: int, hasher: Hasher, known: dict[int, list
 
 
 def _applied(found: tuple[DataFrame, DataFrame, int], columns: list[str], kinds: str, make: Callable, window: int, anchor: int) -> DataFrame:
-    """Run ``make(table, words by row, covered words by row)`` over every chunk."""
+    """Run ``make(table, texts, words by row, covered words by row)`` over every chunk."""
     docs, known, chunks = found
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         hasher = Hasher(window, anchor)
         ids = dict(zip(right.column("key").to_pylist(), right.column("ids").to_pylist(), strict=True))
         hot = any(right.column("hot").to_pylist())
-        words = [(t.as_py() or "").encode().split() for t in left.column("text")]
+        texts = list(_texts(left.column("text")))
+        words = [(t or b"").split() for t in texts]
         covered = [_covered(w, d, hasher, ids, hot) for w, d in zip(words, left.column(_ID).to_pylist(), strict=True)]
-        return make(left, words, covered)
+        return make(left, texts, words, covered)
 
-    lean = docs.select(*dict.fromkeys([*columns, "text", _ID]), _chunk_of(F.col(_ID), chunks).alias(_CHUNK)).groupBy(_CHUNK)
+    lean = _packed(docs.select(*dict.fromkeys([*columns, "text", _ID]), _chunk_of(F.col(_ID), chunks).alias(_CHUNK))).groupBy(_CHUNK)
     return lean.cogroup(known.groupBy("chunk")).applyInArrow(run, kinds)
 
 
@@ -376,7 +401,7 @@ def dedup_digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, *
     docs = docs.select("doc_id", "text")
     key = docs.schema["doc_id"].dataType.simpleString()
 
-    def make(left: pa.Table, words: list[list[bytes]], covered: list[np.ndarray]) -> pa.Table:
+    def make(left: pa.Table, texts: list[bytes | None], words: list[list[bytes]], covered: list[np.ndarray]) -> pa.Table:
         kept = [hashlib.sha256(b" ".join([w for w, c in zip(own, out.tolist(), strict=True) if not c] if out.any() else own)).hexdigest() for own, out in zip(words, covered, strict=True)]
         return pa.table({
             "doc_id": left.column("doc_id"), "n_words": pa.array([len(w) for w in words], pa.int64()),
@@ -390,9 +415,8 @@ def dedup_digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, *
 _TOKEN = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 
 
-def cut_text(text: str, covered: np.ndarray) -> str:
-    """``text`` without the covered words and the white space after each of them."""
-    raw = text.encode()
+def cut_text(raw: bytes, covered: np.ndarray) -> str:
+    """A text without the covered words and the white space after each of them."""
     starts = np.array([m.start() for m in _TOKEN.finditer(raw)] + [len(raw)])
     edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.astype(np.int8), [0])))).reshape(-1, 2)
     out, at = [], 0
@@ -407,9 +431,8 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, *
     columns = docs.columns
     shape = docs.schema
 
-    def make(left: pa.Table, words: list[list[bytes]], covered: list[np.ndarray]) -> pa.Table:
-        texts = left.column("text").to_pylist()
-        new = [cut_text(t, c) if c.any() else t for t, c in zip(texts, covered, strict=True)]
+    def make(left: pa.Table, texts: list[bytes | None], words: list[list[bytes]], covered: list[np.ndarray]) -> pa.Table:
+        new = [t if t is None else cut_text(t, c) if c.any() else t.decode() for t, c in zip(texts, covered, strict=True)]
         kept = pa.array([not (len(c) and c.all()) for c in covered], pa.bool_())
         return left.set_column(left.schema.get_field_index("text"), "text", pa.array(new, pa.string())).select(columns).filter(kept)
 
