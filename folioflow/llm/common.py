@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow import importable
+
 #: A word, as every contract of this subpackage defines it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,7 +18,7 @@ SPACES = " \t\n\r\x0b\x0c"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +41,7 @@ def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     This cuts the lineage: lost executors re-read files instead of running
     tokenizers or hashes again, and several later passes share one result.
     """
-    spark = df.sparkSession
+    spark = importable(df.sparkSession)
     path = shared_dir(spark)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow import importable
+
 from .common import SPACES
 
 #: Fixed values of the base rules.
@@ -193,6 +195,7 @@ def chosen_columns(x: np.ndarray, good: np.ndarray) -> tuple[int, ...]:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
     """Learn from at most ``fit_rows`` labelled rows; the forest sees good and bad ones alike."""
+    importable(docs.sparkSession)
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows)  # at most fit_rows narrow rows: safe to broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")

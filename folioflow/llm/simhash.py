@@ -365,13 +365,13 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIM
     the first document among them, by fingerprint and then by sketch.
     """
     prints = staged(fingerprints(docs, shingle, seed, TABLES))
-    one = prints.groupBy("fp").agg(F.min_by(F.struct("samples", "sketch"), "doc_id").alias("of")).select("fp", "of.samples", "of.sketch")
-    one = staged(one)
-    keys = one.select("fp", F.posexplode("samples").alias("t", "key")).where("key <> 0")
+    keys = prints.select("fp", F.posexplode("samples").alias("t", "key")).where("key <> 0").distinct()
     groups = keys.groupBy("t", "key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = keys.join(groups, ["t", "key"]).select("a", F.col("fp").alias("b")).where("a <> b").distinct()
-    pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= COPY_BITS)
-    sketches = one.select("fp", "sketch")
+    pairs = staged(pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= COPY_BITS))
+    # Sketches of candidates alone leave the table of fingerprints.
+    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    sketches = prints.select("fp", "sketch").join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch"))
     pairs = pairs.join(sketches.toDF("b", "sb"), "b").join(sketches.toDF("a", "sa"), "a")
-    edges = _similar(pairs, least).unionByName(links(staged(one.select("fp")), DISTANCE))
+    edges = _similar(pairs, least).unionByName(links(staged(prints.select("fp").distinct()), DISTANCE))
     return linked(prints, edges)
