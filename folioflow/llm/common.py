@@ -55,3 +55,8 @@ def fold(doc_id: Column, buckets: int) -> Column:
 def cut(total: int, size: int) -> int:
     """How many blocks of about ``size`` hold ``total``; one at least."""
     return max(1, -(-int(total) // size))
+
+
+def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Mark a stored table for broadcast if it has at most ``most`` rows; a larger one is joined as it is."""
+    return F.broadcast(df) if df.count() <= most else df

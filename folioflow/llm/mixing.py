@@ -17,7 +17,9 @@ proportion to the weight and at most ``most_p``.
 Scale: documents are read once and staged as narrow rows. No window runs over
 all rows of a source: ranks are dealt into ``buckets`` of p-adjusted order,
 words are summed per (source, bucket), and only the one bucket per source in
-which the target is reached gets ordered row by row.
+which the target is reached gets ordered row by row. Targets and edges, a row
+per source each, are broadcast if their rows are counted to be few, and joined
+like any table otherwise.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 after all others; rows of size 0 take 0 words. Repeated rows are drawn like
@@ -30,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, small_side, staged
 
 #: Weights of sources in code-point order, repeating; share of all words; most copies of a document.
 WEIGHTS, TOTAL_SHARE, MOST_COPIES = (5, 2, 1), (3, 2), 2
@@ -83,7 +85,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     if weight_col:
         p = F.when(F.col("_mass") > 0, F.col("_rest") * F.coalesce("weight", F.lit(0.0)) / F.col("_mass")).otherwise(p)
     targets = targets.withColumnRenamed("source", "_source")
-    rows = sized.join(targets, sized["source"].eqNullSafe(F.col("_source"))).drop("_source")
+    # Rows of a hot source must not meet in one task, so the sources go to the rows.
+    rows = sized.join(small_side(staged(targets)), sized["source"].eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("_u", uniform(F.col("doc_id"), seed)).withColumn("_p", F.least(F.greatest(p, F.lit(1e-12)), F.lit(MOST_P)))
     odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
     # rank / (1 + rank) is in (0, 1) and in the same order; equal p throughout a source spread it unevenly, u doesn't.
@@ -95,7 +98,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     sums = sums.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
     edge = sums.where((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_in") >= F.col("_rest")))
     edge = edge.select(F.col("source").alias("_source"), F.col("_bucket").alias("_edge"), "_before")
-    rows = rows.join(edge, rows["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
+    rows = rows.join(small_side(staged(edge)), rows["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
     in_edge = F.col("_bucket") == F.col("_edge")
     ordered = Window.partitionBy("source").orderBy("_rank", "doc_id", "size")
     running = F.col("_before") + F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
