@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, small_side, staged
 
 UNDETERMINED = "und"
 #: Ranks kept of a language and of a document; documents per language to learn from.
@@ -95,6 +95,10 @@ def fit(train: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
     """Learn profiles from rows of (doc_id, text, lang), at most ``fit_rows`` of each language."""
     first = Window.partitionBy("lang").orderBy("_h", "doc_id")
     ids = train.select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("_h"))
+    # Of a frequent language only about 3 * fit_rows rows, by another hash, come to the window.
+    counts = small_side(staged(train.groupBy("lang").agg(F.count("*").alias("_c"))))
+    share = F.pmod(F.xxhash64("_h"), F.lit(1 << 20)) * F.col("_c") < F.lit(3 * fit_rows * (1 << 20))
+    ids = ids.join(counts, "lang").where(share)
     ids = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= fit_rows).select("lang", "doc_id").distinct()
     sample = train.select("lang", "doc_id", "text").join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "text")
 
