@@ -48,8 +48,8 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints that one index may hold, and that groups hold on average.
 GROUP_ROWS, GROUP_MEAN = 1 << 16, 1 << 12
 #: Near copies by similarity: words in a shingle, least Jaccard similarity of shingle sets,
-#: sample tables and their shingles, values in a sketch, bits that candidates may differ in.
-COPY_SHINGLE, SIMILARITY, TABLES, SAMPLE, SKETCH, COPY_BITS = 5, 0.8, 12, 3, 256, 22
+#: sample tables and their shingles, values in a sketch, bits that candidates may differ in, size of parts.
+COPY_SHINGLE, SIMILARITY, TABLES, SAMPLE, SKETCH, COPY_BITS, PART = 5, 0.8, 16, 3, 256, 26, 3
 #: Children of a node; rows of a search that run at once.
 FAN, FRONT = 8, 1 << 18
 
@@ -361,13 +361,20 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIM
 
     Copies at that similarity differ in more bits than an index of 64 can bear.
     So besides the links at DISTANCE, documents meet by samples: in each of
-    TABLES orders, those with the same first SAMPLE shingles are compared with
-    the first document among them, by fingerprint and then by sketch.
+    TABLES orders, those with the same first SAMPLE shingles are compared, by
+    fingerprint and then by sketch, with one document of their group and one of
+    a part of about PART members. Both are picked anew in every order, so the
+    pairs of a small group are met, and no group gives all its pairs.
     """
     prints = staged(fingerprints(docs, shingle, seed, TABLES))
     keys = prints.select("fp", F.posexplode("samples").alias("t", "key")).where("key <> 0").distinct()
-    groups = keys.groupBy("t", "key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keys.join(groups, ["t", "key"]).select("a", F.col("fp").alias("b")).where("a <> b").distinct()
+    keys = staged(keys.withColumn("h", F.xxhash64("fp", "t")))
+    first = F.min_by("fp", "h").alias("a")
+    groups = keys.groupBy("t", "key").agg(first, F.count("*").alias("n")).where("n > 1")
+    whole = keys.join(groups, ["t", "key"]).withColumn("part", F.pmod("h", F.ceil(F.col("n") / PART)))
+    parts = whole.where(F.col("n") > 2).groupBy("t", "key", "part").agg(F.min_by("fp", "h").alias("p"))
+    within = whole.where(F.col("n") > 2).join(parts, ["t", "key", "part"]).select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b"))
+    pairs = whole.select(F.least("fp", "a").alias("a"), F.greatest("fp", "a").alias("b")).union(within).where("a <> b").distinct()
     pairs = staged(pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= COPY_BITS))
     # Sketches of candidates alone leave the table of fingerprints.
     asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
