@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from folioflow import importable
 
 from .common import SPACES
+from .tokens import release
 
 #: Fixed values of the base rules.
 MIN_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
@@ -202,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quality
     names = [f"f{i}" for i in range(len(statistics("")[1]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             got = [(q, statistics(t)) for q, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             got = [(q, f) for q, (c, f) in got if not base_failed(c)]
@@ -226,6 +228,7 @@ def judge(docs: DataFrame, model: QualityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             got = [statistics(t) for t in batch.column(1).to_pylist()]
             failed = np.array([base_failed(c) for c, _ in got], bool)
@@ -243,6 +246,7 @@ def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             got = [statistics(t) for t in batch.column(at).to_pylist()]
             scores = shared.value.scores([f for _, f in got])

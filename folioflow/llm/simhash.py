@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, staged
 from .components import Forest, components
+from .tokens import release
 
 #: Words in a shingle, hash seed, bits in which linked fingerprints may differ.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -86,6 +87,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, tabl
     odd = np.random.default_rng(2).integers(1, 1 << 63, max(1, tables), dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             fps, held, sketches = [], [], []
             for text in batch.column(1):
@@ -241,6 +243,7 @@ def _spread(rows: DataFrame, fixed: int, widths: list[int], lead: int) -> DataFr
     """Send each row (path, v, fp) once per block; g names its group: path and leading bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             path = batch.column(0).to_numpy(zero_copy_only=False)
             v = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -275,6 +278,7 @@ def _indexed(groups: DataFrame, parts: int, fixed: int, widths: list[int], dista
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
@@ -349,6 +353,7 @@ def similarity(a: bytes, b: bytes, sketch: int = SKETCH) -> float:
 
 def _similar(pairs: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             near = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))

@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut
+from .tokens import release
 
 WINDOW, ANCHOR = 13, 5
 CHUNK_BYTES, SHARD_ROWS = 12_000_000, 20_000
@@ -187,6 +188,7 @@ def _packed(rows: DataFrame) -> DataFrame:
     """The same rows with ``text`` as compressed bytes, so that a shuffle writes less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             at = batch.schema.get_field_index("text")
@@ -208,6 +210,7 @@ def _anchor_rows(docs: DataFrame, chunks: int, window: int, anchor: int) -> Data
     """h, id: anchors of all documents; in a batch, the smallest and largest id per anchor and chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hasher = Hasher(window, anchor)
         for batch in batches:
             hs, rows = [], []
@@ -245,6 +248,7 @@ def _passage_rows(docs: DataFrame, marks: DataFrame, chunks: int, window: int, a
     """
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         hasher = Hasher(window, anchor)
         order = np.argsort(right.column("h").to_numpy())
         shared, hot = right.column("h").to_numpy()[order], right.column("hot").to_numpy()[order]
@@ -314,6 +318,7 @@ def _known(rows: DataFrame, parts: int, window: int) -> DataFrame:
     """chunk, key, hot, ids for the passages of a chunk that smaller ids repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         group: dict[bytes, int] = {}
         users: list[tuple[int, bool, bytes, int]] = []
         out: list[tuple] = []
@@ -384,6 +389,7 @@ def _applied(found: tuple[DataFrame, DataFrame, int], columns: list[str], kinds:
     docs, known, chunks = found
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         hasher = Hasher(window, anchor)
         ids = dict(zip(right.column("key").to_pylist(), right.column("ids").to_pylist(), strict=True))
         hot = any(right.column("hot").to_pylist())

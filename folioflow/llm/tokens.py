@@ -119,6 +119,11 @@ def worker_tokenizer(path: str, leading_space: bool, dtype: str, memo_bytes: int
     return _WORKER[key]
 
 
+def release() -> None:
+    """Drop the worker's memo; operators that need the memory for their own work call this first."""
+    _WORKER.clear()
+
+
 def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterable[tuple[int, int]]:
     """Ranges of rows that hold about ``chars`` characters each, one row at least."""
     begin = held = 0
