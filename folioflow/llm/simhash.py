@@ -42,15 +42,17 @@ from pyspark.sql import functions as F
 
 from .common import cut, staged
 from .components import Forest, components
-from .tokens import release
+from .tokens import release, slices
 
 #: Words in a shingle, hash seed, bits in which linked fingerprints may differ.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints that one index may hold, and that groups hold on average.
 GROUP_ROWS, GROUP_MEAN = 1 << 16, 1 << 12
 #: Near copies by similarity: words in a shingle, least Jaccard similarity of shingle sets,
-#: sample tables and their shingles, values in a sketch, bits that candidates may differ in, size of parts.
-COPY_SHINGLE, SIMILARITY, TABLES, SAMPLE, SKETCH, COPY_BITS, PART = 5, 0.8, 16, 3, 256, 26, 3
+#: sample tables and their shingles, tables that are tested first.
+COPY_SHINGLE, SIMILARITY, TABLES, SAMPLE, FIRST_TABLES = 5, 0.8, 16, 3, 4
+#: Texts and shingles that one test of all pairs holds on average, texts in a tile, columns multiplied at once.
+TEST_ROWS, TEST_SHINGLES, TILE, COLUMNS = 1 << 12, 1 << 21, 128, 1 << 14
 #: Children of a node; rows of a search that run at once.
 FAN, FRONT = 8, 1 << 18
 
@@ -76,12 +78,12 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, tables: int = 0, size: int = SAMPLE, sketch: int = SKETCH) -> DataFrame:
-    """doc_id, fp (64 bits as a long) and, if ``tables`` are asked for, samples and sketch.
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, tables: int = 0, size: int = SAMPLE) -> DataFrame:
+    """doc_id, fp (64 bits as a long) and, if ``tables`` are asked for, sid, size and samples.
 
-    ``samples``: for each table a key of the ``size`` distinct shingles that come
-    first in an order of that table's own. ``sketch``: the ``sketch`` smallest
-    values of the distinct shingles, packed; all of them if there are no more.
+    With ``tables`` all of them are of distinct shingles. ``sid``: a hash of the
+    whole set, ``size``: its shingles. ``samples``: for each table a key of the
+    ``size`` shingles that come first in an order of that table's own.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
     odd = np.random.default_rng(2).integers(1, 1 << 63, max(1, tables), dtype=np.uint64) | np.uint64(1)
@@ -89,27 +91,27 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, tabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            fps, held, sketches = [], [], []
+            fps, sids, sizes, held = [], [], [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(text.as_py(), shingle, seed)
-                fps.append(fingerprint_of(hashes))
                 if tables:
-                    distinct = np.unique(hashes)
+                    hashes = np.unique(hashes)
+                    sids.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+                    sizes.append(len(hashes))
                     own = []
                     for m in odd:
-                        mixed = distinct * m
+                        mixed = hashes * m
                         mixed ^= mixed >> np.uint64(29)
                         first = mixed if len(mixed) <= size else np.partition(mixed, size)[:size]
                         own.append(int(np.bitwise_xor.reduce(np.sort(first) * np.uint64(0x9E3779B97F4A7C15))) if len(first) else 0)
                     held.append(np.array(own, np.uint64).view(np.int64))
-                    small = np.unique((distinct * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype("<u4"))
-                    sketches.append(small[:sketch].tobytes())
+                fps.append(fingerprint_of(hashes))
             cols = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))]
             if tables:
-                cols += [pa.array(held, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "samples", "sketch"][: len(cols)])
+                cols += [pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(held, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "sid", "size", "samples"][: len(cols)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, fp long" + ", samples array<long>, sketch binary" * bool(tables))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, fp long" + ", sid long, size long, samples array<long>" * bool(tables))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -331,59 +333,154 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, d
     return linked(prints, links(staged(prints.select("fp").distinct()), distance))
 
 
-def linked(prints: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows of ``prints`` (doc_id, fp) with component_id: the smallest doc_id of their component."""
-    roots = components(edges)
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    named = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+def linked(prints: DataFrame, edges: DataFrame, node: str = "fp") -> DataFrame:
+    """Rows of ``prints`` (doc_id, fp) with component_id: the smallest doc_id of their component of ``node`` values."""
+    roots = components(edges).toDF("_node", "root")
+    first = prints.groupBy(node).agg(F.min("doc_id").alias("first"))
+    named = first.join(roots, first[node] == roots["_node"], "left").select(node, "first", F.coalesce("root", node).alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    own = named.join(least, "root").select("fp", "component_id")
-    return prints.join(own, "fp").select("doc_id", "fp", "component_id")
+    own = named.join(least, "root").select(node, "component_id")
+    return prints.join(own, node).select("doc_id", "fp", "component_id")
 
 
-def similarity(a: bytes, b: bytes, sketch: int = SKETCH) -> float:
-    """Jaccard similarity of two shingle sets from their sketches; exact while both are whole."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    if len(x) < sketch and len(y) < sketch:
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return both / max(1, len(x) + len(y) - both)
-    union = np.union1d(x, y)[:sketch]
-    return float((np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)).mean())
+def set_links(sets: list[np.ndarray], own: np.ndarray, side: np.ndarray, cross: bool, least: float) -> np.ndarray:
+    """For each set its root's position after all pairs of ``least`` similarity are linked.
 
+    Sets of equal ``own`` are linked already. With ``cross`` only pairs from
+    side 0 to side 1 are tested. Tiles of sets are multiplied as 0-1 matrices
+    over the shingles both tiles have, so every count is exact; tiles that
+    differ too much in size or are one component already are passed over.
+    """
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    forest = Forest(n)
+    _, head, at = np.unique(own, return_index=True, return_inverse=True)
+    forest.join(head[at], np.arange(n))
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+
+    def tiles(members: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        members = members[np.argsort(sizes[members], kind="stable")]
+        out = []
+        for a in range(0, len(members), TILE):
+            m = members[a : a + TILE]
+            row = np.repeat(np.arange(len(m)), sizes[m])
+            col = np.concatenate([ids[begin[k] : begin[k] + sizes[k]] for k in m])
+            order = np.argsort(col, kind="stable")
+            out.append((m, row[order], col[order], np.unique(col)))
+        return out
+
+    def dense(tile: tuple[np.ndarray, ...], columns: np.ndarray) -> np.ndarray:
+        m, row, col, _ = tile
+        a, b = np.searchsorted(col, columns[0]), np.searchsorted(col, columns[-1], side="right")
+        at = np.searchsorted(columns, col[a:b])
+        hit = columns[at] == col[a:b]
+        out = np.zeros((len(m), len(columns)), np.float32)
+        out[row[a:b][hit], at[hit]] = 1
+        return out
+
+    left = tiles(np.flatnonzero(side == 0))
+    right = tiles(np.flatnonzero(side == 1)) if cross else left
+    for i, x in enumerate(left):
+        for y in right if cross else right[i:]:
+            if sizes[x[0][-1]] < least * sizes[y[0][0]] or sizes[y[0][-1]] < least * sizes[x[0][0]]:
+                continue
+            root = forest.flatten()
+            if (root[x[0]] == root[x[0][0]]).all() and (root[y[0]] == root[x[0][0]]).all():
+                continue
+            both = np.intersect1d(x[3], y[3], assume_unique=True)
+            count = np.zeros((len(x[0]), len(y[0])), np.int64)
+            for a in range(0, len(both), COLUMNS):
+                columns = both[a : a + COLUMNS]
+                count += (dense(x, columns) @ dense(y, columns).T).astype(np.int64)
+            p, q = np.nonzero(count >= least * (sizes[x[0]][:, None] + sizes[y[0]][None, :] - count))
+            forest.join(x[0][p], y[0][q])
+    return forest.flatten()
+
+
+def _tested(rows: DataFrame, parts: int, least: float) -> DataFrame:
+    """Edges (a, b of sid) of a spanning forest of the links in every block of rows."""
+
+    def edges(held: list[tuple]) -> pa.RecordBatch:
+        sets = [np.frombuffer(r[5], "<u8") for r in held]
+        sid = np.array([r[3] for r in held], np.int64)
+        root = set_links(sets, np.array([r[4] for r in held], np.int64), np.array([r[2] for r in held], np.int64), bool(held[0][1]), least)
+        member = np.flatnonzero(root != np.arange(len(held)))
+        return pa.RecordBatch.from_arrays([pa.array(sid[member]), pa.array(sid[root[member]])], ["a", "b"])
 
-def _similar(pairs: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        held: list[tuple] = []
         for batch in batches:
-            near = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield edges(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield edges(held)
+
+    dealt = rows.select("block", "cross", "side", "sid", "own", "shingles").repartition(parts, "block").sortWithinPartitions("block")
+    return dealt.mapInArrow(run, "a long, b long")
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+def shingle_sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """sid and the packed distinct shingles of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for begin, end in slices(texts := batch.column(0).to_pylist()):
+                packed = [np.unique(shingle_hashes(t, shingle, seed)).tobytes() for t in texts[begin:end]]
+                sids = np.array([xxhash.xxh64_intdigest(p) for p in packed], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(sids.view(np.int64)), pa.array(packed, pa.binary())], ["sid", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "sid long, shingles binary")
 
 
 def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIMILARITY, seed: int = SEED) -> DataFrame:
     """doc_id, fp and component_id; components hold texts of a shingle-set similarity of ``least`` or more.
 
     Copies at that similarity differ in more bits than an index of 64 can bear.
-    So besides the links at DISTANCE, documents meet by samples: in each of
-    TABLES orders, those with the same first SAMPLE shingles are compared, by
-    fingerprint and then by sketch, with one document of their group and one of
-    a part of about PART members. Both are picked anew in every order, so the
-    pairs of a small group are met, and no group gives all its pairs.
+    So candidates are groups of two kinds: components of fingerprints linked at
+    DISTANCE, and in each of TABLES orders, texts with the same first SAMPLE
+    shingles. All pairs of a group are tested on their whole shingle sets, and
+    only pairs that pass are edges. A group too large for one task is cut into
+    chunks and every two chunks are tested together, so that no pair is left
+    out. The groups of FIRST_TABLES orders go first; groups that are one
+    component by then, or hold the same texts as another, need no test.
     """
     prints = staged(fingerprints(docs, shingle, seed, TABLES))
-    keys = prints.select("fp", F.posexplode("samples").alias("t", "key")).where("key <> 0").distinct()
-    keys = staged(keys.withColumn("h", F.xxhash64("fp", "t")))
-    first = F.min_by("fp", "h").alias("a")
-    groups = keys.groupBy("t", "key").agg(first, F.count("*").alias("n")).where("n > 1")
-    whole = keys.join(groups, ["t", "key"]).withColumn("part", F.pmod("h", F.ceil(F.col("n") / PART)))
-    parts = whole.where(F.col("n") > 2).groupBy("t", "key", "part").agg(F.min_by("fp", "h").alias("p"))
-    within = whole.where(F.col("n") > 2).join(parts, ["t", "key", "part"]).select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b"))
-    pairs = whole.select(F.least("fp", "a").alias("a"), F.greatest("fp", "a").alias("b")).union(within).where("a <> b").distinct()
-    pairs = staged(pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= COPY_BITS))
-    # Sketches of candidates alone leave the table of fingerprints.
-    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    sketches = prints.select("fp", "sketch").join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch"))
-    pairs = pairs.join(sketches.toDF("b", "sb"), "b").join(sketches.toDF("a", "sa"), "a")
-    edges = _similar(pairs, least).unionByName(links(staged(prints.select("fp").distinct()), DISTANCE))
-    return linked(prints, edges)
+    close = components(links(staged(prints.select("fp").distinct()), DISTANCE))
+    sampled = prints.select("sid", "size", F.posexplode("samples").alias("t", "key")).where("key <> 0").distinct()
+    printed = prints.select("sid", "size", "fp").distinct().join(close, F.col("fp") == F.col("node"), "left")
+    keys = sampled.select("t", F.xxhash64("t", "key").alias("g"), "sid", "size")
+    keys = keys.union(printed.select(F.lit(-1).alias("t"), F.xxhash64(F.lit(-1), F.coalesce("root", "fp")).alias("g"), "sid", "size"))
+    keys = staged(keys.join(keys.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "g", "left_semi"))
+    found, roots = None, None
+    for lot in (F.col("t") < FIRST_TABLES, F.col("t") >= FIRST_TABLES):
+        own = keys.where(lot).select("g", "sid", "size")
+        own = own.withColumn("own", F.col("sid")) if roots is None else own.join(roots, F.col("sid") == F.col("node"), "left").select("g", "sid", "size", F.coalesce("root", "sid").alias("own"))
+        mark = F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("mark")
+        groups = own.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("own").alias("low"), F.max("own").alias("high"), mark).where("low < high")
+        groups = groups.groupBy("mark", "n", "total").agg(F.min("g").alias("g"))
+        chunks = F.ceil(F.greatest(F.col("n") / TEST_ROWS, F.col("total") / TEST_SHINGLES)).cast("long")
+        groups = staged(groups.select("g", chunks.alias("chunks"), (F.col("total") * chunks).alias("sent")))
+        sent = groups.agg(F.sum("sent")).first()[0]
+        if not sent:
+            continue
+        members = staged(own.join(groups, "g").select("g", "chunks", "sid", "own"))
+        # Texts of candidates alone are read again.
+        asked = prints.join(members.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("_id"))
+        texts = docs.select("doc_id", "text").join(asked.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        sets = shingle_sets(texts, shingle, seed).groupBy("sid").agg(F.first("shingles").alias("shingles"))
+        part = F.pmod(F.xxhash64("sid", F.lit(1)), "chunks")
+        sides = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        block = F.xxhash64("g", F.least("part", "other"), F.greatest("part", "other")).alias("block")
+        sides = sides.select(block, (F.col("part") != F.col("other")).alias("cross"), (F.col("part") > F.col("other")).cast("int").alias("side"), "sid", "own")
+        edges = staged(_tested(sides.join(sets, "sid"), cut(sent, TEST_SHINGLES), least))
+        found = edges if found is None else found.union(edges)
+        roots = components(found)
+    if found is None:
+        found = prints.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)
+    return linked(prints, found, "sid")

@@ -117,6 +117,21 @@ def test_near_copies_find_similar_texts(spark):
     assert got == {5: 3, 3: 3, 7: 3, 9: 9, 8: 8}
 
 
+def copies_brute(texts):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(lowered, texts)]
+    return groups_brute(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+
+
+def kept_groups(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.component_id for r in sorted(simhash.near_copies(df).collect(), key=lambda r: r.doc_id)]
+
+
+def test_near_copies_need_more_than_a_shared_run(spark):
+    texts = [" ".join([f"{v}{i}" for i in range(300)] + ["-"] * 60) for v in "abcdef"]
+    assert kept_groups(spark, texts) == copies_brute(texts) == [*range(6)]
+
+
 def test_language(spark, stored, odd):
     rows, df = stored
     got = language.identify(df, language.fit(language.training_rows(df))).collect()
