@@ -132,6 +132,24 @@ def test_near_copies_need_more_than_a_shared_run(spark):
     assert kept_groups(spark, texts) == copies_brute(texts) == [*range(6)]
 
 
+def edited(rng, base, edits, name):
+    """A copy of ``base`` with words changed in places that lie apart."""
+    new = [*base]
+    for k in rng.choice(len(base) // 6, edits, replace=False):
+        new[6 * k + 3] = f"{name}-{k}"
+    return " ".join(new)
+
+
+@pytest.mark.parametrize("rows", [1 << 12, 20])
+def test_near_copies_test_all_pairs_of_large_groups(spark, rows, monkeypatch):
+    monkeypatch.setattr(simhash, "TEST_ROWS", rows)
+    monkeypatch.setattr(simhash, "TILE", 16)
+    base = [f"w{i}" for i in range(600)]
+    rng = np.random.default_rng(3)
+    texts = [" ".join(base)] + [edited(rng, base, 12, f"c{n}") for n in range(80)]
+    assert kept_groups(spark, texts) == copies_brute(texts) == [0] * 81
+
+
 def test_language(spark, stored, odd):
     rows, df = stored
     got = language.identify(df, language.fit(language.training_rows(df))).collect()
