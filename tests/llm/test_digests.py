@@ -150,6 +150,14 @@ def test_near_copies_test_all_pairs_of_large_groups(spark, rows, monkeypatch):
     assert kept_groups(spark, texts) == copies_brute(texts) == [0] * 81
 
 
+def test_near_copies_of_long_texts_are_exact(spark):
+    base = [f"w{i}" for i in range(1000)]
+    rng = np.random.default_rng(4)
+    below = [edited(rng, base, 13, f"b{n}") for n in range(40)]  # about 0.77 to each other
+    texts = [*below, " ".join(base[:500] + [f"x{i}" for i in range(500)]), " ".join(base[:490] + [f"x{i}" for i in range(500)])]
+    assert kept_groups(spark, texts) == copies_brute(texts)
+
+
 def test_language(spark, stored, odd):
     rows, df = stored
     got = language.identify(df, language.fit(language.training_rows(df))).collect()
