@@ -158,6 +158,13 @@ def test_near_copies_of_long_texts_are_exact(spark):
     assert kept_groups(spark, texts) == copies_brute(texts)
 
 
+def test_near_copies_with_a_repeated_run(spark):
+    rng = np.random.default_rng(5)
+    plain = [" ".join(f"{v}{rng.integers(1 << 40)}" for _ in range(800)) for v in range(8)]
+    texts = [t for p in plain for t in (p, p + " -" * 60)]
+    assert kept_groups(spark, texts) == copies_brute(texts) == [k // 2 * 2 for k in range(16)]
+
+
 def test_language(spark, stored, odd):
     rows, df = stored
     got = language.identify(df, language.fit(language.training_rows(df))).collect()
