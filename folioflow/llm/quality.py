@@ -86,7 +86,7 @@ def statistics(text: str | None) -> tuple[tuple[int, ...], tuple[float, ...]]:
     repeated = repeated_words(words)
     marks = sum(text.count(c) for c in ".,;:!?")
     m, c = max(1, n), max(1, chars)
-    upper = sum(1 for w in words[:: max(1, n // 400)] if w.isupper()) / max(1, len(words[:: max(1, n // 400)]))
+    upper = sum(w.isupper() for w in words) / m
     features = (
         chars / m, symbols / c, duplicates / max(1, len(lines)), repeated / m, upper, marks / m,
         text.count("!") / m, len({*words}) / m ** 0.9, sum(map(text.count, "0123456789")) / c, text.count("|") / m,

@@ -370,6 +370,12 @@ def test_quality(docs, spark, sf_dir):
     assert Counter(g.doc_id for g in quality.keep_good(df, model).collect()) == kept
 
 
+def test_quality_counts_upper_case_of_all_words():
+    table = " ".join("ROW" if k % 4 == 0 else f"cell{k}" for k in range(1600))
+    late = " ".join(["calm"] * 1001 + ["LOUD"] * 999)
+    assert [quality.statistics(t)[1][4] for t in (table, late, "", "A b")] == [0.25, 999 / 2000, 0.0, 0.5]
+
+
 def test_quality_forest_finds_outliers():
     rng = np.random.default_rng(1)
     rows = np.concatenate([rng.normal(size=(500, 3)), rng.normal(size=(5, 3)) + 9])
