@@ -6,6 +6,11 @@ merge across a boundary between a word and the white space after it, so a text
 is cut there, each distinct piece goes through the library once per worker,
 and a text's ids are the joined ids of its pieces. The memo is bounded by its
 bytes and emptied when full; results don't depend on it.
+
+Texts hold no control tokens: an added token's string in a text, such as a
+literal <|endoftext|>, is encoded as text (``encode_special_tokens``), so that
+no text can end a document inside a sequence. A plain library call would give
+the token's id there.
 """
 
 from __future__ import annotations
