@@ -26,13 +26,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, staged
-from .tokens import slices, worker_tokenizer
+from .tokens import ENCODE_BYTES, with_ends, worker_tokenizer
+from .words import plain, sliced
 
 #: Capacity of a sequence and the id that ends a document.
 CAPACITY, END_ID = 1024, 2
@@ -41,37 +41,34 @@ CAPACITY, END_ID = 1024, 2
 BLOCK_PIECES, ROUNDS = 1 << 16, 6
 
 
-def piece_bounds(n: int, capacity: int) -> np.ndarray:
-    """Starts of a document's pieces and its end; only the first may be short of ``capacity``."""
-    return np.concatenate(([0], np.arange(n - (n - 1) // capacity * capacity, n + 1, capacity)))
+def piece_table(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, piece, start and length of all pieces of documents of these sizes, in order."""
+    count = (sizes - 1) // capacity + 1
+    doc = np.repeat(np.arange(len(sizes)), count)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    short = sizes - (count - 1) * capacity
+    start = np.where(piece == 0, 0, short[doc] + (piece - 1) * capacity)
+    return doc, piece, start, np.where(piece == 0, short[doc], capacity)
 
 
-def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = True) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = True, special_as_text: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if ``ids``, the piece's ids."""
     kinds = {"doc_id": docs.schema["doc_id"].dataType.simpleString(), "piece": "int", "start": "long", "length": "long", "ids_crc32": "long"}
     if ids:
         kinds["ids"] = "array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = worker_tokenizer(vocabulary, True, "<u4")
-        end = np.array([end_id], dtype="<u4")
+        tok = worker_tokenizer(vocabulary, True, "<u4", special_as_text=special_as_text)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                rows: list[tuple] = []
-                held = []
-                for i, got in enumerate(tok.encode(texts[a:b]), a):
-                    full = np.concatenate((got, end))
-                    at = piece_bounds(len(full), capacity)
-                    for k in range(len(at) - 1):
-                        part = full[at[k] : at[k + 1]]
-                        rows.append((i, k, int(at[k]), len(part), zlib.crc32(part)))
-                        if ids:
-                            held.append(part.astype("<i4"))
-                at, *rest = zip(*rows, strict=True)
-                cols = [keys.take(pa.array(at, pa.int64())), *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))]
-                if ids:
-                    cols.append(pa.array(held, pa.list_(pa.int32())))
+            keys, texts = batch.column(0), plain(batch.column(1))
+            for a, b in sliced(texts, ENCODE_BYTES):
+                full, at = with_ends(*tok.encode(texts.slice(a, b - a)), end_id)
+                doc, piece, start, length = piece_table(np.diff(at), capacity)
+                begin = at[doc] + start
+                crc = [zlib.crc32(full[i:j]) for i, j in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+                cols = [keys.take(pa.array(doc + a)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                if ids:  # pieces follow each other as their ids do
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate((begin, at[-1:])), pa.int32()), pa.array(full.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, list(kinds))
 
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))
@@ -167,18 +164,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
     blocks = cut(short.count(), block_pieces)
     names = [*pieces.columns, "sequence_id", "offset"]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bins, offsets = pack_block(rows["length"].to_numpy(), capacity)
-        return rows.assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)[names]
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        bins, offsets = pack_block(rows.column("length").to_numpy(), capacity)
+        rows = rows.append_column("sequence_id", pa.array(bins + (key[0].as_py() << 32))).append_column("offset", pa.array(offsets))
+        return rows.select(names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     dealt = short.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
-    return full.select(*names).unionByName(dealt.groupBy("_block").applyInPandas(run, kinds))
+    return full.select(*names).unionByName(dealt.groupBy("_block").applyInArrow(run, kinds))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = True, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = True, block_pieces: int = BLOCK_PIECES, special_as_text: bool = True) -> DataFrame:
     """Tokenize and pack: one row per piece with its place, and its ids if wanted."""
-    pieces = staged(tokenized_pieces(docs, vocabulary, capacity, end_id, ids))
+    pieces = staged(tokenized_pieces(docs, vocabulary, capacity, end_id, ids, special_as_text))
     if not ids:
         return pack(pieces, capacity, block_pieces)
     where = pack(pieces.drop("ids"), capacity, block_pieces)

@@ -8,8 +8,11 @@ block keeps checkpoints (lane states and word position at fixed steps), from
 which its segments decode independently, and checksums of its bytes and ids.
 
 Files are Parquet tables whose ``payload`` column holds blocks; the row beside
-it (part, block, n_docs, n_tokens) finds a block without opening it. Spark
-commits the files, so a lost executor costs a re-run task, never a torn file.
+it (part, block, n_docs, n_tokens) finds a block without opening it. The shared
+frequency table is stored beside them, so any later session can decode them.
+Spark commits the files, so a lost executor costs a re-run task, never a torn
+file. Decoding takes all whole segments of a block at once from their
+checkpoints, in one array.
 
 Scale: documents are tokenized once and staged as 16- or 32-bit ids; counting
 and encoding read that. Ordering is a range partition by doc_id over staged
@@ -28,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, shared_dir, staged
-from .tokens import slices, worker_tokenizer
+from .tokens import ENCODE_BYTES, with_ends, worker_tokenizer
+from .words import bytes_of, plain, sliced
 
 MAGIC = b"FRNS"
 #: Bits of the frequency scale, and the lower end of a lane's state.
@@ -103,7 +107,7 @@ class Codec:
         return _HEAD.unpack_from(block)[3]
 
     def decode(self, block: bytes, segment: int | None = None) -> np.ndarray:
-        """Ids of a block, or of one of its segments, which starts at its own checkpoint."""
+        """Ids of a block, its segments side by side; or of one segment, which starts at its own checkpoint."""
         magic, bits, lanes, marks, n, emitted, ids_crc = _HEAD.unpack_from(block)
         (body_crc,) = struct.unpack_from("<I", block, _HEAD.size)
         at = _HEAD.size + 4
@@ -112,9 +116,41 @@ class Codec:
         mark_size = 8 + 8 * lanes
         words = np.frombuffer(block, "<u4", emitted, at + marks * mark_size).astype(np.uint64)
         steps = -(-n // lanes)
-        first, last = (0, steps) if segment is None else (segment * SEGMENT_STEPS, min(steps, (segment + 1) * SEGMENT_STEPS))
         if n == 0:
             return np.empty(0, np.uint32)
+        if segment is None:
+            held = np.frombuffer(block, np.uint8, marks * mark_size, at).reshape(marks, mark_size)
+            whole = n // (lanes * SEGMENT_STEPS)
+            out = [self._side_by_side(np.ascontiguousarray(held[:whole]), words, lanes)] + [self._segment(block, k, at, mark_size, words, n, lanes, steps) for k in range(whole, marks)]
+            out = np.concatenate(out)
+            if zlib.crc32(out.astype("<u4")) != ids_crc:
+                raise ValueError("a token block's ids don't match their checksum")
+            return out
+        return self._segment(block, segment, at, mark_size, words, n, lanes, steps)
+
+    def _side_by_side(self, marks: np.ndarray, words: np.ndarray, lanes: int) -> np.ndarray:
+        """Ids of whole segments, all decoded at once from their checkpoints (bytes, a row each)."""
+        n = len(marks)
+        pos = marks[:, :8].copy().view("<u8").ravel().astype(np.int64)
+        x = marks[:, 8:].copy().view("<u8").astype(np.uint64)
+        out = np.empty((n, SEGMENT_STEPS, lanes), np.uint32)
+        mask, high, bits = np.uint64((1 << self.bits) - 1), np.uint64(32), np.uint64(self.bits)
+        for t in range(SEGMENT_STEPS if n else 0):
+            slot = x & mask
+            s = self.symbol[slot]
+            out[:, t] = s
+            x = self.freq[s] * (x >> bits) + slot - self.start[s]
+            row, lane = np.nonzero(x < LOW)
+            if len(row):
+                count = np.bincount(row, minlength=n)
+                take = np.arange(len(row)) + np.repeat(pos - (np.cumsum(count) - count), count)
+                x[row, lane] = x[row, lane] << high | words[take]
+                pos += count
+        return out.ravel()
+
+    def _segment(self, block: bytes, segment: int, at: int, mark_size: int, words: np.ndarray, n: int, lanes: int, steps: int) -> np.ndarray:
+        """Ids of one segment from its checkpoint on."""
+        first, last = segment * SEGMENT_STEPS, min(steps, (segment + 1) * SEGMENT_STEPS)
         mark = at + first // SEGMENT_STEPS * mark_size
         pos = struct.unpack_from("<Q", block, mark)[0]
         state = np.frombuffer(block, "<u8", lanes, mark + 8).astype(np.uint64)
@@ -132,23 +168,22 @@ class Codec:
                 x[low] = (x[low] << high) | words[pos : pos + len(low)]
                 pos += len(low)
             state[:k] = x
-        if segment is None and zlib.crc32(out.astype("<u4")) != ids_crc:
-            raise ValueError("a token block's ids don't match their checksum")
         return out
 
 
-def token_table(docs: DataFrame, vocabulary: str, end_id: int, dtype: str) -> DataFrame:
+def token_table(docs: DataFrame, vocabulary: str, end_id: int, dtype: str, special_as_text: bool = True) -> DataFrame:
     """Staged doc_id and ids (packed little-endian) with the end id."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = worker_tokenizer(vocabulary, False, dtype)
-        end = np.array([end_id], dtype=dtype).tobytes()
+        tok = worker_tokenizer(vocabulary, False, dtype, special_as_text=special_as_text)
+        size = np.dtype(dtype).itemsize
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                ids = [x.tobytes() + end for x in tok.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            texts = plain(batch.column(1))
+            for a, b in sliced(texts, ENCODE_BYTES):
+                ids, at = with_ends(*tok.encode(texts.slice(a, b - a)), end_id)
+                packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at * size).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), packed], ["doc_id", "ids"])
 
     return staged(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, ids binary"))
 
@@ -159,8 +194,10 @@ def id_counts(table: DataFrame, dtype: str, vocabulary_size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary_size, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += 0 if len(ids.as_py()) == 0 else np.bincount(np.frombuffer(ids.as_py(), dtype), minlength=vocabulary_size)
+            raw, _ = bytes_of(batch.column(0))
+            ids = raw.view(dtype) if len(raw) else np.empty(0, dtype)
+            for a in range(0, len(ids), 1 << 22):
+                total += np.bincount(ids[a : a + (1 << 22)], minlength=vocabulary_size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
@@ -171,14 +208,19 @@ def id_counts(table: DataFrame, dtype: str, vocabulary_size: int) -> np.ndarray:
     return counts
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, vocabulary_size: int = 49408, docs_per_part: int = 8192, block_tokens: int = BLOCK_TOKENS) -> np.ndarray:
-    """Encode all documents into files at ``path``; returns the shared frequency table."""
+def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, vocabulary_size: int = 49408, docs_per_part: int = 8192, block_tokens: int = BLOCK_TOKENS, special_as_text: bool = True) -> None:
+    """Encode all documents into files at ``path``: blocks, and the shared frequency table."""
     dtype = "<u2" if vocabulary_size <= 1 << 16 else "<u4"
-    table = token_table(docs, vocabulary, end_id, dtype)
+    table = token_table(docs, vocabulary, end_id, dtype, special_as_text)
     freq = frequency_table(id_counts(table, dtype, vocabulary_size))
-    shared = table.sparkSession.sparkContext.broadcast(freq)
+    spark = table.sparkSession
+    stored = spark.createDataFrame([(SCALE_BITS, bytearray(freq.astype("<u4").tobytes()))], "bits int, frequencies binary")
+    stored.coalesce(1).write.parquet(f"{path}/table")
+    shared = spark.sparkContext.broadcast(freq)
     parts = cut(table.count(), docs_per_part)
-    ordered = table.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # Rows of one id (or of none) are told apart by their ids, so that they can be dealt out too.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc()]
+    ordered = table.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,21 +249,22 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
 
     kinds = f"part int, block int, n_docs long, n_tokens long, doc_ids array<{key}>, lengths array<long>, payload binary"
     blocks = ordered.select("doc_id", "ids", F.spark_partition_id().alias("part")).mapInArrow(run, kinds)
-    blocks.write.option("compression", "none").parquet(path)
-    return freq
+    blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read_token_files(files: DataFrame, freq: np.ndarray, ids: bool = True) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and, if wanted, ids, decoded from the files.
+def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if wanted, ids, decoded from the files at ``path``.
 
-    ``start`` counts the ids of all documents before, over all files.
+    ``start`` counts the ids of all documents before, over all files. Nothing
+    but the files is needed.
     """
-    shared = files.sparkSession.sparkContext.broadcast(freq)
+    files, held = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/table").first()
+    shared = spark.sparkContext.broadcast((np.frombuffer(held["frequencies"], "<u4"), held["bits"]))
     key = files.schema["doc_ids"].dataType.elementType.simpleString()
     names = ["doc_id", "part", "block", "at", "n_tokens", "ids_crc32", *["ids"] * ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = Codec(*shared.value)
         for batch in batches:
             for i in range(batch.num_rows):
                 part, block, keys, lengths, payload = (batch.column(c)[i] for c in range(5))
@@ -252,5 +295,5 @@ def read_token_files(files: DataFrame, freq: np.ndarray, ids: bool = True) -> Da
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, vocabulary_size: int = 49408, ids: bool = False) -> DataFrame:
     """Write ``docs`` to files in the shared folder and read them back."""
     path = shared_dir(docs.sparkSession)
-    freq = write_token_files(docs, vocabulary, path, end_id, vocabulary_size)
-    return read_token_files(docs.sparkSession.read.parquet(path), freq, ids)
+    write_token_files(docs, vocabulary, path, end_id, vocabulary_size)
+    return read_token_files(docs.sparkSession, path, ids)
