@@ -34,7 +34,7 @@ def packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3), use_threads=False)) as out:
         out.write_batch(batch)
-    return sink.getvalue()
+    return sink.getvalue().to_pybytes()
 
 
 def unpacked(rows: pa.ChunkedArray | pa.Array) -> Iterator[pa.RecordBatch]:

@@ -5,25 +5,28 @@ starts in a document with a smaller doc_id; every word inside such a window is
 removed. Windows are judged on the input.
 
 Each window has an anchor, its smallest hashed ``ANCHOR``-word sequence, so
-equal windows have equal anchors wherever they stand. Anchors seen in one
-document only can't belong to a repeat. Around every other anchor a document
-has a passage: the windows that share it. Passages go to the shard of their
-anchor, where a suffix automaton over words is built from the shard's distinct
-passages. Each state knows the smallest doc_id in which its sequences occur;
-streaming the passages through it gives matching statistics, and at each match
-of ``window`` words or more the smallest doc_id holding that very window. A
-shard of one passage needs no automaton: all its windows have its smallest id.
+equal windows have equal anchors wherever they stand. Anchors seen once can't
+belong to a repeat. Around every other anchor a document has a passage: the
+windows that share it. Passages go to the shard of their anchor, where a suffix
+automaton over words is built from the shard's distinct passages. Each state
+knows the smallest doc_id in which its sequences occur; streaming the passages
+through it gives matching statistics, and at each match of ``window`` words or
+more the smallest doc_id holding that very window. A shard of one passage needs
+no automaton: all its windows have its smallest id.
 
 Automata of the whole corpus would have no size bound, so they are not
-broadcast: shards meet the passages that can match them instead.
-
-Scale: three passes over the texts, two of them dealt out by chunks of about
-``chunk_bytes``; anchors travel as two numbers each
-and texts compressed. Passages are merged per
-chunk, so many copies of one text cost one row per chunk. An anchor with more
-than ``shard_rows`` rows is hot: its windows become passages of their own with
-their own hash as key, so no shard grows with a frequent phrase. Results return
-to their chunks as keys and ids; nothing is collected.
+broadcast: shards meet the passages that can match them instead (README has
+the figures).
+
+Scale: texts are stored once in chunks of about ``chunk_bytes``, bucketed by
+chunk, and never shuffled; three passes read them, the last one cuts words but
+needs no hashes. Anchors travel as a hash, a chunk and a count, once per chunk,
+so a phrase of every document has a row per chunk. Passages are merged per
+chunk and carry the places where they stand, so what is known of them returns
+as places and ids. An anchor with more than ``shard_rows`` places is hot: its
+windows become passages of their own with their own hash as key, so no shard
+grows with a frequent phrase. Texts of a chunk are unpacked slice by slice;
+nothing is collected.
 
 Defined results: a null or empty text has no words and keeps nothing. A null
 doc_id counts as larger than all others. Rows with equal doc_id don't repeat
@@ -34,72 +37,24 @@ tables give empty results.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut
+from .chunks import CHUNK_BYTES, in_order, stored_chunks, unpacked
 from .tokens import release
+from .words import Words, plain
 
-WINDOW, ANCHOR = 13, 5
-CHUNK_BYTES, SHARD_ROWS = 12_000_000, 20_000
-_ID, _CHUNK = "__folio_id", "__folio_chunk"
+WINDOW, ANCHOR, SHARD_ROWS = 13, 5, 20_000
+#: Distinct passages that a chunk holds as Python objects before they become Arrow rows.
+HELD_PASSAGES = 100_000
+_ID = "__folio_id"
 _LAST = (1 << 63) - 1
-_MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-
-
-class Hasher:
-    """Anchors of windows; word hashes are kept, up to a bound, from text to text."""
-
-    def __init__(self, window: int, anchor: int, most: int = 300_000):
-        self.window, self.anchor, self.most = window, anchor, most
-        self.known: dict[bytes, int] = {}
-
-    def anchors(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """For each window, the position of its anchor; and the hash at each position."""
-        n = len(words)
-        if n < self.window:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, h = self.known, xxhash.xxh3_64_intdigest
-        for w in words:
-            if w not in known:
-                known[w] = h(w)
-        w = np.fromiter(map(known.__getitem__, words), np.uint64, n)
-        k = n - self.anchor + 1
-        mixed = np.zeros(k, np.uint64)
-        for j in range(self.anchor):
-            mixed = (mixed ^ w[j : j + k]) * _MULTIPLIERS[j]
-            mixed ^= mixed >> np.uint64(32)
-        span = self.window - self.anchor + 1
-        at = np.arange(k - span + 1)
-        if span <= 16:
-            return at + np.lib.stride_tricks.sliding_window_view(mixed, span).argmin(axis=1), mixed
-        # Halving: the smaller of two overlapping spans, the left one in a tie.
-        best, size = np.arange(k), 1
-        while size < span:
-            step = min(size, span - size)
-            a, b = best[: len(best) - step], best[step:]
-            best = np.where(mixed[a] <= mixed[b], a, b)
-            size += step
-        return best, mixed
-
-
-def passages(at: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """(anchor position, first word, end) of each run of windows with one anchor."""
-    if not len(at):
-        return []
-    first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    last = np.concatenate((first[1:] - 1, [len(at) - 1]))
-    return list(zip(at[first].tolist(), first.tolist(), (last + window).tolist(), strict=True))
 
 
 class SuffixAutomaton:
@@ -174,125 +129,98 @@ class SuffixAutomaton:
         return out
 
 
-def _chunked(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """Rows with an id (null last), and the number of chunks they are dealt to by it."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return docs.withColumn(_ID, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))), cut(size, chunk_bytes)
-
-
-def _chunk_of(doc: Column, chunks: int) -> Column:
-    return F.pmod(F.xxhash64(doc), F.lit(chunks)).cast("int")
-
-
-def _packed(rows: DataFrame) -> DataFrame:
-    """The same rows with ``text`` as compressed bytes, so that a shuffle writes less."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        compress = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            small = pa.array([None if t is None else compress(t.encode()) for t in batch.column(at).to_pylist()], pa.binary())
-            yield batch.set_column(at, "text", small)
-
-    kinds = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in rows.schema])
-    return rows.mapInArrow(run, kinds)
-
-
-def _texts(column: pa.ChunkedArray) -> Iterator[bytes | None]:
-    expand = zstandard.ZstdDecompressor().decompress
-    for t in column:
-        raw = t.as_py()
-        yield None if raw is None else expand(raw)
-
-
-def _anchor_rows(docs: DataFrame, chunks: int, window: int, anchor: int) -> DataFrame:
-    """h, id: anchors of all documents; in a batch, the smallest and largest id per anchor and chunk."""
+def _anchor_rows(stored: DataFrame, window: int, anchor: int) -> DataFrame:
+    """h, chunk, places: the anchors of every stored slice, and in how many places they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        hasher = Hasher(window, anchor)
         for batch in batches:
-            hs, rows = [], []
-            for i, text in enumerate(batch.column(2)):
-                at, mixed = hasher.anchors((text.as_py() or "").encode().split())
-                if len(at):
-                    own = np.unique(mixed[np.unique(at)])
-                    hs.append(own)
-                    rows.append(np.full(len(own), i))
-            if not hs:
-                continue
-            h, row = np.concatenate(hs).view(np.int64), np.concatenate(rows)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[row]
-            chunk = batch.column(1).to_numpy(zero_copy_only=False)[row]
-            order = np.lexsort((ids, chunk, h))
-            h, ids, chunk = h[order], ids[order], chunk[order]
-            edge = (h[1:] != h[:-1]) | (chunk[1:] != chunk[:-1])
-            kept = np.concatenate(([True], edge)) | np.concatenate((edge, [True]))
-            yield pa.RecordBatch.from_arrays([pa.array(h[kept]), pa.array(ids[kept])], ["h", "id"])
+            for chunk, rows in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), strict=True):
+                _, _, h = Words(rows.column("text")).anchors(window, anchor)
+                if len(h):
+                    h = np.sort(h)
+                    head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                    places = np.diff(np.concatenate((head, [len(h)])))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[head]), pa.array(np.full(len(head), chunk)), pa.array(places)], ["h", "chunk", "places"])
 
-    return docs.select(_ID, _chunk_of(F.col(_ID), chunks), "text").mapInArrow(run, "h long, id long")
+    return stored.select("chunk", "rows").mapInArrow(run, "h long, chunk long, places long")
 
 
-def _marks(anchors: DataFrame, chunks: int, shard_rows: int) -> DataFrame:
-    """chunk, h, hot: anchors of two documents or more, in every chunk that has them."""
-    same = Window.partitionBy("h")
-    seen = anchors.select("h", "id", F.min("id").over(same).alias("lo"), F.max("id").over(same).alias("hi"), F.count("*").over(same).alias("n"))
-    return seen.where("lo < hi").select("h", _chunk_of(F.col("id"), chunks).alias("chunk"), (F.col("n") > shard_rows).alias("hot")).distinct()
+def _marks(anchors: DataFrame, shard_rows: int) -> DataFrame:
+    """chunk, h, hot: anchors that stand in two places or more, in every chunk that has them."""
+    places = F.sum("places").over(Window.partitionBy("h"))  # a row for each slice that has h
+    return anchors.withColumn("n", places).where("n > 1").select("h", "chunk", (F.col("n") > shard_rows).alias("hot")).distinct()
 
 
-def _passage_rows(docs: DataFrame, marks: DataFrame, chunks: int, window: int, anchor: int) -> DataFrame:
-    """Distinct passages around shared anchors: h, chunk, hot, passage, smallest and largest id in the chunk.
+def _passage_rows(stored: DataFrame, marks: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Passages around shared anchors: h, chunk, windows, passage, smallest and largest id in the chunk, places in it.
 
-    Around a hot anchor every window is a passage of its own, with its own hash as h.
+    A place is the number of the passage's first word in the chunk. Around a hot
+    anchor every window is a passage of its own, with its own hash as h.
     """
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         release()
-        hasher = Hasher(window, anchor)
-        order = np.argsort(right.column("h").to_numpy())
-        shared, hot = right.column("h").to_numpy()[order], right.column("hot").to_numpy()[order]
-        found: dict[bytes, list] = {}
-
-        def note(text: bytes, h: int, is_hot: bool, doc: int) -> None:
-            own = found.get(text)
-            if own is None:
-                found[text] = [h, is_hot, doc, doc]
-            elif doc < own[2]:
-                own[2] = doc
-            elif doc > own[3]:
-                own[3] = doc
-
-        for doc, text in zip(left.column(_ID).to_pylist(), _texts(left.column("text")), strict=True) if len(shared) else ():
-            words = (text or b"").split()
-            at, mixed = hasher.anchors(words)
-            if not len(at):
-                continue
-            signed = mixed.view(np.int64)
-            where = np.minimum(np.searchsorted(shared, signed), len(shared) - 1)
-            hit = shared[where] == signed
-            for p, a, b in passages(at, window):
-                if not hit[p]:
-                    continue
-                if hot[where[p]]:
-                    for i in range(a, b - window + 1):
-                        single = b" ".join(words[i : i + window])
-                        note(single, _key_of(single), True, doc)
-                else:
-                    note(b" ".join(words[a:b]), int(signed[p]), False, doc)
-        chunk = left.column(_CHUNK)[0].as_py() if left.num_rows else 0
-        rows = list(found.values())
-        return pa.table({
-            "h": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "hot": pa.array([r[1] for r in rows], pa.bool_()),
-            "passage": pa.array(list(found), pa.binary()), "least": pa.array([r[2] for r in rows], pa.int64()), "most": pa.array([r[3] for r in rows], pa.int64()),
-        })
-
-    lean = _packed(docs.select(_ID, "text", _chunk_of(F.col(_ID), chunks).alias(_CHUNK))).groupBy(_CHUNK)
-    return lean.cogroup(marks.groupBy("chunk")).applyInArrow(run, "h long, chunk int, hot boolean, passage binary, least long, most long")
-
-
-def _key_of(passage: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(passage, 13) - (1 << 63)
+        shared = np.sort(right.column("h").to_numpy())
+        hot = np.sort(right.filter(right.column("hot")).column("h").to_numpy())
+        out: list[pa.RecordBatch] = []
+        found: dict[bytes, int] = {}
+        keys: list[int] = []
+        spans: list[int] = []
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # passage, id, place
+
+        def flush() -> None:
+            if found:
+                which, ids, places = (np.concatenate(x) for x in zip(*hits, strict=True))
+                order = np.argsort(which, kind="stable")
+                head = np.searchsorted(which[order], np.arange(len(found)))
+                at = pa.py_buffer((np.concatenate((head, [len(order)])) * 4).astype(np.int32))
+                columns = [
+                    pa.array(keys, pa.int64()), pa.array(np.full(len(found), key[0].as_py())), pa.array(spans, pa.int32()), pa.array(list(found), pa.binary()),
+                    pa.array(np.minimum.reduceat(ids[order], head)), pa.array(np.maximum.reduceat(ids[order], head)),
+                    pa.Array.from_buffers(pa.binary(), len(found), [None, at, pa.py_buffer(places[order].astype(np.uint32))]),
+                ]
+                out.append(pa.RecordBatch.from_arrays(columns, schema=_PASSAGE))
+                found.clear(), keys.clear(), spans.clear(), hits.clear()
+
+        before = 0
+        for rows in unpacked(in_order(left)) if len(shared) else ():
+            words = Words(rows.column("text"))
+            a, b, h = words.anchors(window, anchor)
+            hit = shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h
+            a, b, h = a[hit], b[hit], h[hit]
+            if len(hot):
+                single = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                count = (b - a - window + 1)[single]
+                first = np.repeat(a[single] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                cold = ~single
+                a, b, h = np.concatenate((a[cold], first)), np.concatenate((b[cold], first + window)), np.concatenate((h[cold], np.zeros(len(first), np.int64)))
+                single = np.repeat([False, True], [cold.sum(), len(first)]).tolist()
+            else:
+                single = [False] * len(a)
+            ids = rows.column(_ID).to_numpy(zero_copy_only=False)[np.searchsorted(words.first, a, side="right") - 1]
+            text = words.norm.tobytes()
+            which = np.empty(len(a), np.int64)
+            for k, (i, j, own, span, alone) in enumerate(zip(words.at[a].tolist(), (words.at[b] - 1).tolist(), h.tolist(), (b - a - window + 1).tolist(), single, strict=True)):
+                passage = text[i:j]
+                at = found.get(passage)
+                if at is None:
+                    at = found[passage] = len(found)
+                    keys.append(xxhash.xxh3_64_intdigest(passage, 13) - (1 << 63) if alone else own)
+                    spans.append(span)
+                which[k] = at
+            hits.append((which, ids, a + before))
+            before += len(words)
+            if len(found) >= HELD_PASSAGES:
+                flush()
+        flush()
+        return pa.Table.from_batches(out, _PASSAGE)
+
+    kinds = "h long, chunk long, windows int, passage binary, least long, most long, places binary"
+    return stored.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(run, kinds)
+
+
+_PASSAGE = pa.schema([("h", pa.int64()), ("chunk", pa.int64()), ("windows", pa.int32()), ("passage", pa.binary()), ("least", pa.int64()), ("most", pa.int64()), ("places", pa.binary())])
 
 
 def window_ids(passages_: dict[bytes, int], window: int) -> dict[bytes, list[int]]:
@@ -303,7 +231,7 @@ def window_ids(passages_: dict[bytes, int], window: int) -> dict[bytes, list[int
     if len(passages_) == 1:
         return {p: [least] for p, least in passages_.items()}
     automaton = SuffixAutomaton()
-    split = {p: p.split() for p in passages_}
+    split = {p: p.split(b" ") for p in passages_}
     for p, words in split.items():
         automaton.add(words, passages_[p])
     automaton.finish()
@@ -315,91 +243,117 @@ def window_ids(passages_: dict[bytes, int], window: int) -> dict[bytes, list[int
 
 
 def _known(rows: DataFrame, parts: int, window: int) -> DataFrame:
-    """chunk, key, hot, ids for the passages of a chunk that smaller ids repeat."""
+    """chunk, windows, places, ids for the passages of a chunk that smaller ids repeat."""
+    shape = pa.schema([("chunk", pa.int64()), ("windows", pa.int32()), ("places", pa.binary()), ("ids", pa.list_(pa.int64()))])
+
+    def judged(table: pa.Table) -> pa.RecordBatch:
+        """Whole shards, in order of h."""
+        table = table.combine_chunks()
+        h, least, most = (table.column(c).to_numpy() for c in ("h", "least", "most"))
+        head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        size = np.diff(np.concatenate((head, [len(h)])))
+        code = table.column("passage").combine_chunks().dictionary_encode().indices.to_numpy()
+        low = np.repeat(np.minimum.reduceat(least, head), size)
+        one = np.minimum.reduceat(code, head) == np.maximum.reduceat(code, head)
+        plainly = np.flatnonzero(np.repeat(one, size) & (low < most))
+        rows_, ids, count = [plainly], [low[plainly]], [np.ones(len(plainly), np.int64)]
+        for a, n in zip(head[~one].tolist(), size[~one].tolist(), strict=True):
+            shard: dict[bytes, int] = {}
+            texts = table.column("passage").slice(a, n).to_pylist()
+            for p, k in zip(texts, least[a : a + n].tolist(), strict=True):
+                shard[p] = min(k, shard.get(p, _LAST))
+            found = window_ids(shard, window)
+            for i, (p, k) in enumerate(zip(texts, most[a : a + n].tolist(), strict=True), a):
+                if min(found[p]) < k:
+                    rows_.append([i])
+                    ids.append(found[p])
+                    count.append([len(found[p])])
+        at, ids, count = (np.concatenate(x).astype(np.int64) for x in (rows_, ids, count))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(ids))
+        out = table.select(["chunk", "windows", "places"]).take(pa.array(at)).combine_chunks().to_batches()
+        return pa.RecordBatch.from_arrays([*(out[0].columns if out else [pa.array([], f.type) for f in shape][:3]), lists], schema=shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        group: dict[bytes, int] = {}
-        users: list[tuple[int, bool, bytes, int]] = []
-        out: list[tuple] = []
-        last = None
-
-        def finish() -> None:
-            ids = window_ids(group, window)
-            for chunk, hot, p, most in users:
-                if min(ids[p]) < most:
-                    out.append((chunk, _key_of(p), hot, ids[p]))
-
-        def batch_of() -> pa.RecordBatch:
-            cols = zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64())), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["chunk", "key", "hot", "ids"])
-
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for h, chunk, hot, p, least, most in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if h != last:
-                    if users:
-                        finish()
-                    if len(out) >= 20_000:
-                        yield batch_of()
-                        out.clear()
-                    group, users, last = {}, [], h
-                if least < group.get(p, _LAST + 1):
-                    group[p] = least
-                users.append((chunk, hot, p, most))
-        if users:
-            finish()
-        if out:
-            yield batch_of()
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if batch.column(0)[-1].as_py() != held[0].column(0)[0].as_py():  # the last shard may go on
+                table = pa.Table.from_batches(held)
+                last = int(np.searchsorted(table.column("h").to_numpy(), batch.column(0)[-1].as_py()))
+                yield judged(table.slice(0, last))
+                held = table.slice(last).to_batches()
+        if held:
+            yield judged(pa.Table.from_batches(held))
 
     shards = rows.repartition(parts, "h").sortWithinPartitions("h")
-    return shards.mapInArrow(run, "chunk int, key long, hot boolean, ids array<long>")
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame, int]:
-    """Documents with an id, per chunk the passages whose windows occur in smaller ids, and the number of chunks."""
-    docs, chunks = _chunked(docs, chunk_bytes)
-    marks = _marks(_anchor_rows(docs, chunks, window, anchor), chunks, shard_rows)
-    rows = _passage_rows(docs, marks, chunks, window, anchor)
-    return docs, _known(rows, chunks, window), chunks
-
-
-def _covered(words: list[bytes], doc: int, hasher: Hasher, known: dict[int, list[int]], hot: bool) -> np.ndarray:
-    """Which words stand in a window that a smaller id holds."""
-    edge = np.zeros(len(words) + 1, np.int64)
-    window = hasher.window
-    at, _ = hasher.anchors(words) if known else ((), None)
-    for _, a, b in passages(np.asarray(at), window) if len(at) else ():
-        ids = known.get(_key_of(b" ".join(words[a:b])))
-        if ids is not None and len(ids) == 1:
-            if ids[0] < doc:
-                edge[a] += 1
-                edge[b] -= 1
-            continue
-        if ids is None:
-            ids = [known.get(_key_of(b" ".join(words[i : i + window])), (_LAST,))[0] for i in range(a, b - window + 1)] if hot else ()
-        for i, least in enumerate(ids, a):
-            if least < doc:
-                edge[i] += 1
-                edge[i + window] -= 1
-    return np.cumsum(edge[:-1]) > 0
-
-
-def _applied(found: tuple[DataFrame, DataFrame, int], columns: list[str], kinds: str, make: Callable, window: int, anchor: int) -> DataFrame:
-    """Run ``make(table, texts, words by row, covered words by row)`` over every chunk."""
-    docs, known, chunks = found
+    return shards.mapInArrow(run, "chunk long, windows int, places binary, ids array<long>")
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Stored chunks of ``docs`` with an id (null last), and per chunk the passages whose windows occur in smaller ids."""
+    docs = docs.withColumn(_ID, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
+    stored, parts, _ = stored_chunks(docs, chunk_bytes)
+    marks = _marks(_anchor_rows(stored, window, anchor), shard_rows)
+    return stored, _known(_passage_rows(stored, marks, window, anchor), parts, window)
+
+
+class Known:
+    """What smaller ids repeat in a chunk, by place."""
+
+    def __init__(self, table: pa.Table, window: int):
+        self.window = window
+        table = table.combine_chunks()
+        places, lists = (pa.concat_arrays(table.column(c).chunks) if table.num_rows else pa.array([], table.schema.field(c).type) for c in ("places", "ids"))
+        at = np.frombuffer(b"".join(places.to_pylist()), "<u4").astype(np.int64)
+        row = np.repeat(np.arange(len(places)), pc.binary_length(places).to_numpy(zero_copy_only=False) // 4)
+        order = np.argsort(at, kind="stable")
+        self.at, self.row = at[order], row[order]
+        self.size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.begin, self.flat = np.cumsum(self.size) - self.size, lists.flatten().to_numpy()
+        self.windows = table.column("windows").to_numpy()
+
+    def covered(self, ids: np.ndarray, first: np.ndarray, before: int) -> np.ndarray:
+        """Which words of a slice stand in a window that a smaller id holds.
+
+        ``ids``: each document's id; ``first``: its first word, and the number
+        of all words; ``before``: words of the chunk before the slice.
+        """
+        edge = np.zeros(int(first[-1]) + 1, np.int64)
+        some = slice(*np.searchsorted(self.at, [before, before + first[-1]]))
+        at, row = self.at[some] - before, self.row[some]
+        own = ids[np.searchsorted(first, at, side="right") - 1]
+        alike = self.size[row] == 1
+        hit = alike & (self.flat[self.begin[row]] < own) if len(row) else alike
+        np.add.at(edge, at[hit], 1)
+        np.add.at(edge, at[hit] + self.windows[row[hit]] + self.window - 1, -1)
+        many = np.flatnonzero(~alike)
+        n = self.size[row[many]]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit = self.flat[np.repeat(self.begin[row[many]], n) + step] < np.repeat(own[many], n)
+        start = (np.repeat(at[many], n) + step)[hit]
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + self.window, -1)
+        return np.cumsum(edge[:-1]) > 0
+
+
+def _applied(found: tuple[DataFrame, DataFrame], kinds: str, make: Callable, window: int) -> DataFrame:
+    """Run ``make(rows, words, covered words)`` over every slice of every chunk."""
+    stored, known = found
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         release()
-        hasher = Hasher(window, anchor)
-        ids = dict(zip(right.column("key").to_pylist(), right.column("ids").to_pylist(), strict=True))
-        hot = any(right.column("hot").to_pylist())
-        texts = list(_texts(left.column("text")))
-        words = [(t or b"").split() for t in texts]
-        covered = [_covered(w, d, hasher, ids, hot) for w, d in zip(words, left.column(_ID).to_pylist(), strict=True)]
-        return make(left, texts, words, covered)
+        seen, before, out = Known(right, window), 0, []
+        for rows in unpacked(in_order(left)):
+            words = Words(rows.column("text"))
+            covered = seen.covered(rows.column(_ID).to_numpy(zero_copy_only=False), words.first, before)
+            before += len(words)
+            out.append(make(rows, words, covered))
+        return pa.concat_tables(out)
 
-    lean = _packed(docs.select(*dict.fromkeys([*columns, "text", _ID]), _chunk_of(F.col(_ID), chunks).alias(_CHUNK))).groupBy(_CHUNK)
-    return lean.cogroup(known.groupBy("chunk")).applyInArrow(run, kinds)
+    return stored.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, kinds)
 
 
 def dedup_digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, **sizes: int) -> DataFrame:
@@ -407,39 +361,47 @@ def dedup_digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, *
     docs = docs.select("doc_id", "text")
     key = docs.schema["doc_id"].dataType.simpleString()
 
-    def make(left: pa.Table, texts: list[bytes | None], words: list[list[bytes]], covered: list[np.ndarray]) -> pa.Table:
-        kept = [hashlib.sha256(b" ".join([w for w, c in zip(own, out.tolist(), strict=True) if not c] if out.any() else own)).hexdigest() for own, out in zip(words, covered, strict=True)]
+    def make(rows: pa.RecordBatch, words: Words, covered: np.ndarray) -> pa.Table:
+        text, at = words.kept(covered)
+        kept = [hashlib.sha256(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        removed = np.concatenate(([0], np.cumsum(covered)))[words.first]
         return pa.table({
-            "doc_id": left.column("doc_id"), "n_words": pa.array([len(w) for w in words], pa.int64()),
-            "n_removed": pa.array([int(c.sum()) for c in covered], pa.int64()), "kept_sha256": pa.array(kept, pa.string()),
+            "doc_id": rows.column("doc_id"), "n_words": pa.array(np.diff(words.first)),
+            "n_removed": pa.array(np.diff(removed)), "kept_sha256": pa.array(kept, pa.string()),
         })
 
-    found = repeats(docs, window, anchor, **sizes)
-    return _applied(found, ["doc_id"], f"doc_id {key}, n_words long, n_removed long, kept_sha256 string", make, window, anchor)
-
+    return _applied(repeats(docs, window, anchor, **sizes), f"doc_id {key}, n_words long, n_removed long, kept_sha256 string", make, window)
 
-_TOKEN = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 
-
-def cut_text(raw: bytes, covered: np.ndarray) -> str:
-    """A text without the covered words and the white space after each of them."""
-    starts = np.array([m.start() for m in _TOKEN.finditer(raw)] + [len(raw)])
+def cut_text(raw: bytes, start: np.ndarray, covered: np.ndarray) -> str:
+    """A text without the covered words and the white space after each of them; ``start``: where words begin."""
+    start = np.concatenate((start, [len(raw)]))
     edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.astype(np.int8), [0])))).reshape(-1, 2)
     out, at = [], 0
     for a, b in edge:
-        out.append(raw[at : starts[a]])
-        at = starts[b]
+        out.append(raw[at : start[a]])
+        at = start[b]
     return b"".join([*out, raw[at:]]).decode()
 
 
 def strip_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, **sizes: int) -> DataFrame:
-    """The rows of ``docs`` with repeats cut out of ``text``; rows left without a word go."""
-    columns = docs.columns
-    shape = docs.schema
+    """The rows of ``docs`` with repeats cut out of ``text``; rows left without a word go.
 
-    def make(left: pa.Table, texts: list[bytes | None], words: list[list[bytes]], covered: list[np.ndarray]) -> pa.Table:
-        new = [t if t is None else cut_text(t, c) if c.any() else t.decode() for t, c in zip(texts, covered, strict=True)]
-        kept = pa.array([not (len(c) and c.all()) for c in covered], pa.bool_())
-        return left.set_column(left.schema.get_field_index("text"), "text", pa.array(new, pa.string())).select(columns).filter(kept)
+    Other columns stay as they are, so counts taken of the old text (``n_chars``) do too.
+    """
+    columns = docs.columns
 
-    return _applied(repeats(docs, window, anchor, **sizes), columns, shape, make, window, anchor)
+    def make(rows: pa.RecordBatch, words: Words, covered: np.ndarray) -> pa.Table:
+        hit = np.diff(np.concatenate(([0], np.cumsum(covered)))[words.first])
+        new = rows.column("text")
+        if hit.any():
+            new, raw = new.to_pylist(), words.raw.tobytes()
+            for k in np.flatnonzero(hit).tolist():
+                a, b, i, j = *words.cut[k : k + 2].tolist(), *words.first[k : k + 2].tolist()
+                new[k] = cut_text(raw[a:b], words.start[i:j] - a, covered[i:j])
+            new = pa.array(new, rows.schema.field("text").type)
+        kept = (hit == 0) | (hit < np.diff(words.first))
+        table = pa.Table.from_batches([rows])
+        return table.set_column(table.schema.get_field_index("text"), "text", new).select(columns).filter(pa.array(kept))
+
+    return _applied(repeats(docs, window, anchor, **sizes), docs.schema, make, window)

@@ -300,7 +300,7 @@ def test_strip_repeats_keeps_columns_and_space(odd):
         if not (hit and all(hit)):
             expected[doc, tuple(x for x, h in zip(words(r[1]), hit) if not h)] += 1
     assert Counter((g.doc_id, tuple(words(g.text))) for g in got) == expected and got[0].asDict().keys() == set(df.columns)
-    assert substring.cut_text(b"a  b\nc d\te", np.array([0, 1, 1, 0, 0])) == "a  d\te"
+    assert substring.cut_text(b"a  b\nc d\te", np.array([0, 3, 5, 7, 9]), np.array([0, 1, 1, 0, 0])) == "a  d\te"
 
 
 def test_toxicity(spark, sf_dir, odd):
