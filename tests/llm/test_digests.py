@@ -205,13 +205,49 @@ def test_lm_scoring(docs):
     assert sum(g.score for g in held) > sum(g.base_score for g in held)
 
 
-def test_lm_is_a_distribution():
-    model = langmodel.MaxEnt({b"a": 2, b"b": 3}, 10, 4, 3, 2, 2).start({0: 2, 1: 3, 2: 3, 3: 2})
-    outs = np.arange(langmodel.CLASSES * langmodel.WIDTH)
-    rng = np.random.default_rng(0)
-    model.tables = [t + rng.normal(size=t.shape).astype(np.float32) for t in model.tables]
-    rows = tuple(np.full(len(outs), 5) for _ in range(3)) + tuple(outs // langmodel.WIDTH for _ in range(2))
-    assert math.isclose(np.exp(model.log_probs(outs, rows)[0]).sum(), 1, rel_tol=1e-4)
+@pytest.mark.parametrize("outputs", [2, 32, 33, 528, 529, 9000])
+def test_lm_is_a_distribution(outputs):
+    """Over all outputs, after any two tokens, rare ones among them, probabilities sum to 1."""
+    rng = np.random.default_rng(outputs)
+    model = langmodel.MaxEnt(rng.integers(1, 100, outputs).astype(float), 10, 4, 3, 2, 256)
+    model.weights = rng.normal(size=model.weights.shape).astype(np.float32)
+    y = np.arange(outputs)
+    for one, two in ((0, 0), (1, 7), (1 << 31 | 99, 5)):
+        h = np.array([one, two], np.uint64) * langmodel._C
+        logs, _ = model.steps(y, np.full(outputs, h[0]), np.full(outputs, h[1]), False)
+        assert math.isclose(np.exp(logs).sum(), 1, rel_tol=1e-4)
+    places = {(int(model.node[d - 1, k]), int(model.slot[d - 1, k])) for k, d in enumerate(model.depth)}
+    assert len(places) == outputs
+
+
+def test_lm_score_is_a_sum_over_tokens():
+    """The score of a text against a plain walk down the tree, token by token."""
+    rng = np.random.default_rng(3)
+    model = langmodel.MaxEnt(rng.integers(1, 100, 700).astype(float), 10, 4, 3, 2, 256)
+    model.weights = rng.normal(size=model.weights.shape).astype(np.float32)
+    texts = [[5, 699, 1 << 31 | 12345, 40, 0], [0], [17, 17, 17, 300, 0]]
+    ids, start = np.concatenate(texts).astype(np.uint32), np.array([0, 5, 6])
+    got = model.score(ids, start)
+    mask = (1 << 64) - 1
+    a, b, c = (int(x) for x in (langmodel._A, langmodel._B, langmodel._C))
+
+    def row(node, context, kind):
+        x = ((context + kind) * a & mask) ^ ((node + kind) * b & mask)
+        x ^= x >> 29
+        return ((x * c & mask) >> 34) % 256
+
+    for text, score in zip(texts, got):
+        total, seen = 0.0, [0, 0]
+        for t in text:
+            y = 1 if t >= 1 << 31 else t
+            one, two = seen[-1] * c & mask, seen[-2] * c & mask
+            for k in range(model.depth[y]):
+                node = int(model.node[k, y])
+                used = [row(node, one, 1), row(node, two, 2)] + ([row(node, (one * b & mask) ^ two, 3)] if k == 0 else [])
+                s = model.bias[node].astype(float) + model.weights[used].astype(float).sum(axis=0)
+                total += s[model.slot[k, y]] - math.log(np.exp(s).sum())
+            seen.append(t)
+        assert math.isclose(score, total / math.log(10), rel_tol=1e-4)
 
 
 def test_media(docs):
