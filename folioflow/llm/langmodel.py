@@ -9,8 +9,9 @@ outputs alone), the more frequent outputs nearer to the top. A word's
 probability is the product of the softmaxes at the nodes on its way. Each
 softmax starts from the training counts and adds hashed feature weights: the
 word before, the word before that (skip) and, at the top, the pair of both.
-Features are hashed from the words themselves, so rare words are contexts like
-any other. A text's score is the log10 probability of its words and one end.
+Features are hashed from the words themselves: a word without an output is a
+context of its own from CONTEXT_COUNT training occurrences on, and by its last
+ENDING bytes below. A text's score is the log10 probability of its words and one end.
 
 Counts are exact and cover all training documents. Training takes ROUNDS
 rounds, each over its share of all training documents: every task takes
@@ -23,7 +24,7 @@ Word counts are merged per chunk, then per word, and return to the chunks that
 use them by a join, so no vocabulary is broadcast. Chunks then store each text
 as numbers of outputs and hashes of contexts, which training and scoring read.
 What is broadcast: the tree, at most OUTPUTS * sqrt(distinct words) entries,
-and the hashed weights, about 2 * sqrt(training tokens) rows of SLOTS numbers
+and the hashed weights, 2 to 4 * sqrt(training tokens) rows of SLOTS numbers
 and at most MOST_ROWS (16 MB).
 
 Defined results: a null or empty text has the end alone. Without training rows
@@ -51,9 +52,11 @@ from .words import Words, bytes_of, lane_hashes
 
 #: Children of a node; outputs by the square root of distinct words; most rows of hashed weights.
 SLOTS, OUTPUTS, MOST_ROWS = 32, 3, 1 << 17
-TRAIN_BYTES, BATCH, RATE, ROUNDS = 32_000_000, 8192, 0.15, 2
+#: Training occurrences from which a word without an output is a context of its own; bytes of an ending.
+CONTEXT_COUNT, ENDING = 64, 2
+TRAIN_BYTES, BATCH, TRAIN_BATCH, RATE, ROUNDS = 32_000_000, 8192, 32768, 0.3, 2
 END, REST = 0, 1
-#: Stored tokens: an output's number, or this bit and 31 bits of hash of a word without one.
+#: Stored tokens: an output's number, or this bit and 31 bits of hash of a word without one or of its ending.
 _RARE = np.uint32(1 << 31)
 _LOG10 = 1 / math.log(10)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -151,28 +154,22 @@ class MaxEnt:
         return logp, left
 
     def train(self, ids: np.ndarray, start: np.ndarray, held: np.ndarray, used: np.ndarray) -> None:
-        """Minibatch steps with adaptive rates; ``held`` keeps squared gradients, ``used`` counts uses of rows."""
+        """Minibatch steps; ``held`` keeps squared gradients by row for adaptive rates, ``used`` counts uses of rows."""
         y, one, two = self.contexts(ids, start)
-        narrow = np.uint16 if self.rows <= 1 << 16 else np.int64  # sorted by radix
-        for a in range(0, len(y), BATCH):
-            b = slice(a, a + BATCH)
+        for a in range(0, len(y), TRAIN_BATCH):
+            b = slice(a, a + TRAIN_BATCH)
             _, left = self.steps(y[b], one[b], two[b], True)
-            grads = np.concatenate([g for g, _ in left])
-            rows, source, at = [], [], 0
-            for g, own in left:
-                for r in own:
-                    rows.append(r)
-                    source.append(np.arange(at, at + len(g)))
-                at += len(g)
-            rows, source = np.concatenate(rows).astype(narrow), np.concatenate(source)
-            order = np.argsort(rows, kind="stable")
-            rows = rows[order].astype(np.int64)
-            head = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-            grad = np.add.reduceat(grads.take(source[order], axis=0), head)
-            rows = rows[head]
-            used[rows] += np.diff(np.concatenate((head, [len(order)])))
-            held[rows] += grad * grad
-            self.weights[rows] = np.clip(self.weights[rows] + RATE * grad / np.sqrt(held[rows] + 1), -8, 8)
+            # Column by column over contiguous numbers; level 0 comes first and alone has the pair.
+            columns = np.ascontiguousarray(np.concatenate([g for g, _ in left]).T, np.float64)
+            before, skip, pair = np.concatenate([u[0] for _, u in left]), np.concatenate([u[1] for _, u in left]), left[0][1][2]
+            grad = np.empty((SLOTS, self.rows), np.float32)
+            for k, g in enumerate(columns):
+                grad[k] = np.bincount(before, g, self.rows) + np.bincount(skip, g, self.rows) + np.bincount(pair, g[: len(pair)], self.rows)
+            used += np.bincount(np.concatenate((before, skip, pair)), minlength=self.rows)
+            held += np.einsum("ij,ij->j", grad, grad) / SLOTS
+            grad *= RATE / np.sqrt(held + 1)
+            self.weights += grad.T
+        np.clip(self.weights, -8, 8, out=self.weights)
 
     def score(self, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
         """log10 probabilities of texts, without those of words within REST."""
@@ -240,7 +237,8 @@ def _numbered(stored: DataFrame, back: DataFrame, model: MaxEnt, key: str) -> Da
         count = np.append(right.column("c").to_numpy(), 0)[place]
         code = np.append(pc.fill_null(right.column("code"), -1).to_numpy(), -1)[place]
         raw, begin = bytes_of(distinct)
-        h = lane_hashes(np.concatenate((raw, np.zeros(8, np.uint8))), begin[:-1], np.diff(begin)) >> np.uint64(33)
+        length = np.where(count >= CONTEXT_COUNT, np.diff(begin), np.minimum(np.diff(begin), ENDING + 1))  # each has a blank behind
+        h = lane_hashes(np.concatenate((raw, np.zeros(8, np.uint8))), begin[1:] - length, length) >> np.uint64(33)
         token = np.where(code < 0, h.astype(np.uint32) | _RARE, code.astype(np.uint32))
         logs = np.log(count + 1.0)
         rare = np.where(code < 0, logs - rest_below, 0.0)
@@ -291,7 +289,7 @@ def train(texts: DataFrame, model: MaxEnt, size: int, train_bytes: int = TRAIN_B
         release()
         base = shared.value
         own = MaxEnt(base.counts, base.tokens, base.distinct, base.rest_tokens, base.rest_distinct, base.rows, base.weights.copy())
-        held, used, part = np.zeros_like(own.weights), np.zeros(own.rows, np.float32), 0
+        held, used, part = np.zeros(own.rows, np.float32), np.zeros(own.rows, np.float32), 0
         for batch in batches:
             part = batch.column(1)[0].as_py() if batch.num_rows else part
             for ids, start in _token_runs(batch.column(0)):
@@ -317,7 +315,7 @@ def fit(counts: DataFrame, ends: int) -> tuple[MaxEnt, DataFrame]:
     outputs = max(SLOTS, int(OUTPUTS * math.sqrt(known["v"]))) - 2
     top = counts.orderBy(F.desc("c"), "word").limit(outputs).collect()
     in_top = sum(r["c"] for r in top)
-    rows = 1 << max(8, math.ceil(math.log2(2 * math.sqrt(known["n"] + ends + 1))) - 1)
+    rows = 1 << max(8, math.ceil(math.log2(4 * math.sqrt(known["n"] + ends + 1))) - 1)
     own = np.array([ends, known["n"] - in_top, *(r["c"] for r in top)], np.float64)
     model = MaxEnt(own, known["n"] + ends, known["v"] + (ends > 0), known["n"] - in_top, known["v"] - len(top), min(MOST_ROWS, rows))
     codes = counts.sparkSession.createDataFrame([(r["word"], k + 2) for k, r in enumerate(top)], "word binary, code int")
