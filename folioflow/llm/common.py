@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,12 +25,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path below the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, local mode) a temporary folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset,
+    in local mode (tests) a temporary folder of this machine is used; a cluster
+    must name one, as its machines can't read each other's disks.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     root = root or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/staged-{uuid.uuid4().hex}"

@@ -24,7 +24,7 @@ Word counts are merged per chunk, then per word, and return to the chunks that
 use them by a join, so no vocabulary is broadcast. Chunks then store each text
 as numbers of outputs and hashes of contexts, which training and scoring read.
 What is broadcast: the tree, at most OUTPUTS * sqrt(distinct words) entries,
-and the hashed weights, 2 to 4 * sqrt(training tokens) rows of SLOTS numbers
+and the hashed weights, 4 to 8 * sqrt(training tokens) rows of SLOTS numbers
 and at most MOST_ROWS (16 MB).
 
 Defined results: a null or empty text has the end alone. Without training rows
@@ -54,7 +54,9 @@ from .words import Words, bytes_of, lane_hashes
 SLOTS, OUTPUTS, MOST_ROWS = 32, 3, 1 << 17
 #: Training occurrences from which a word without an output is a context of its own; bytes of an ending.
 CONTEXT_COUNT, ENDING = 64, 2
-TRAIN_BYTES, BATCH, TRAIN_BATCH, RATE, ROUNDS = 32_000_000, 8192, 32768, 0.3, 2
+TRAIN_BYTES, BATCH, RATE, ROUNDS = 64_000_000, 8192, 0.3, 2
+#: Least and most tokens of a minibatch; between them it has as many as there are rows of weights.
+LEAST_BATCH, MOST_BATCH = 1024, 1 << 15
 END, REST = 0, 1
 #: Stored tokens: an output's number, or this bit and 31 bits of hash of a word without one or of its ending.
 _RARE = np.uint32(1 << 31)
@@ -156,8 +158,9 @@ class MaxEnt:
     def train(self, ids: np.ndarray, start: np.ndarray, held: np.ndarray, used: np.ndarray) -> None:
         """Minibatch steps; ``held`` keeps squared gradients by row for adaptive rates, ``used`` counts uses of rows."""
         y, one, two = self.contexts(ids, start)
-        for a in range(0, len(y), TRAIN_BATCH):
-            b = slice(a, a + TRAIN_BATCH)
+        size = min(MOST_BATCH, max(LEAST_BATCH, self.rows))
+        for a in range(0, len(y), size):
+            b = slice(a, a + size)
             _, left = self.steps(y[b], one[b], two[b], True)
             # Column by column over contiguous numbers; level 0 comes first and alone has the pair.
             columns = np.ascontiguousarray(np.concatenate([g for g, _ in left]).T, np.float64)
@@ -315,7 +318,7 @@ def fit(counts: DataFrame, ends: int) -> tuple[MaxEnt, DataFrame]:
     outputs = max(SLOTS, int(OUTPUTS * math.sqrt(known["v"]))) - 2
     top = counts.orderBy(F.desc("c"), "word").limit(outputs).collect()
     in_top = sum(r["c"] for r in top)
-    rows = 1 << max(8, math.ceil(math.log2(4 * math.sqrt(known["n"] + ends + 1))) - 1)
+    rows = 1 << max(8, math.ceil(math.log2(8 * math.sqrt(known["n"] + ends + 1))) - 1)
     own = np.array([ends, known["n"] - in_top, *(r["c"] for r in top)], np.float64)
     model = MaxEnt(own, known["n"] + ends, known["v"] + (ends > 0), known["n"] - in_top, known["v"] - len(top), min(MOST_ROWS, rows))
     codes = counts.sparkSession.createDataFrame([(r["word"], k + 2) for k, r in enumerate(top)], "word binary, code int")

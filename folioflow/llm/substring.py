@@ -50,7 +50,8 @@ from .chunks import CHUNK_BYTES, in_order, stored_chunks, unpacked
 from .tokens import release
 from .words import Words, plain
 
-WINDOW, ANCHOR, SHARD_ROWS = 13, 5, 20_000
+#: An automaton takes about 500 bytes a word, so one of SHARD_ROWS passages some 40 MB.
+WINDOW, ANCHOR, SHARD_ROWS = 13, 5, 4_000
 #: Distinct passages that a chunk holds as Python objects before they become Arrow rows.
 HELD_PASSAGES = 100_000
 _ID = "__folio_id"
