@@ -29,10 +29,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the one with the smallest doc_id, then the first row.
 
-    Rows are told apart by their place in the stored input, so repeated rows
-    and null ids are handled like any other; all empty texts are one group.
+    Rows are told apart by a number, which is stored with them, as another scan
+    of the input may number them otherwise. So repeated rows and null ids are
+    handled like any other; all empty texts are one group.
     """
-    rows = docs.withColumn(_ROW, F.monotonically_increasing_id())
+    rows = staged(docs.withColumn(_ROW, F.monotonically_increasing_id()))
     found = staged(simhash.near_copies(rows.select(F.col(_ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(_ROW), "component_id"))
     first = rows.select(_ROW, "doc_id").join(found, _ROW).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", _ROW)).alias("m"))
     return rows.join(first.select(F.col(f"m.{_ROW}").alias(_ROW)), _ROW, "left_semi").select(*docs.columns)
@@ -50,10 +51,13 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """As many copies of every document as the mix takes; none drops it.
 
     A text of no words counts no words and stays out where its copies are none.
+    Rows are drawn by id and text, so reruns agree; a stored number tells
+    repeated rows apart.
     """
-    rows = docs.withColumn(_ROW, F.monotonically_increasing_id())
-    # The row number breaks ties, so that it serves as the id of the draw.
-    taken = mixing.mix(rows.select(F.col(_ROW).alias("doc_id"), "source", "text")).select(F.col("doc_id").alias(_ROW), F.col("copies").alias(_COPY))
+    rows = staged(docs.withColumn(_ROW, F.monotonically_increasing_id()))
+    name = F.concat_ws("/", "doc_id", F.xxhash64("text").cast("string")).alias("_name")
+    taken = mixing.mix(rows.select(F.col(_ROW).alias("doc_id"), "source", "text", name), name_col="_name")
+    taken = taken.select(F.col("doc_id").alias(_ROW), F.col("copies").alias(_COPY))
     rows = rows.join(taken.where(F.col(_COPY) > 0), _ROW)
     return rows.withColumn(_COPY, F.explode(F.sequence(F.lit(1).cast("long"), F.col(_COPY)))).select(*docs.columns)
 
