@@ -9,8 +9,8 @@ lacks. The nearest language wins.
 Profiles are learned from at most ``fit_rows`` documents per language, those
 with the smallest hashes of doc_id; counts of all their n-grams are summed.
 
-Scale: the sample's ids (bounded by languages x fit_rows) are broadcast to one
-scan that reads their texts; profiles are languages x PROFILE entries. Applying
+Scale: the sample's ids (languages x fit_rows) are counted and, if few,
+broadcast to one scan that reads their texts; profiles are languages x PROFILE entries. Applying
 is one map over the documents, without a shuffle; memory follows one text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
@@ -34,7 +34,9 @@ from .common import fold, small_side, staged
 UNDETERMINED = "und"
 #: Ranks kept of a language and of a document; documents per language to learn from.
 PROFILE, TOP, FIT_ROWS = 1000, 400, 1000
-_OTHER = re.compile(r"[\W\d_]+")
+#: Number signs that count as word characters elsewhere (fractions, raised and circled digits, numerals).
+_SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_OTHER = re.compile(rf"[\W\d_{_SIGNS}]+")
 _BITS = np.uint64(21)
 
 
@@ -100,7 +102,7 @@ def fit(train: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
     share = F.pmod(F.xxhash64("_h"), F.lit(1 << 20)) * F.col("_c") < F.lit(3 * fit_rows * (1 << 20))
     ids = ids.join(counts, "lang").where(share)
     ids = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= fit_rows).select("lang", "doc_id").distinct()
-    sample = train.select("lang", "doc_id", "text").join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "text")
+    sample = train.select("lang", "doc_id", "text").join(small_side(staged(ids)), ["lang", "doc_id"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, dict[int, int]] = {}

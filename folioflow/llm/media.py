@@ -2,8 +2,9 @@
 
 A payload of bytes is stored losslessly as an 8-bit mono WAV blob. Features:
 polyphase resampling by a rational factor, overlapped log-mel filterbanks,
-hysteresis segmentation on frame energy, and fixed-shape tensors of
-``TENSOR_FRAMES`` x ``MELS`` values with their time spans.
+hysteresis segmentation on frame energy, and fixed-shape Arrow tensors of
+``TENSOR_FRAMES`` x ``MELS`` values with their time spans, from which the query
+takes its band means.
 
 Scale: one map to store the blobs, one map to read them back; no shuffle.
 Frames are computed in slabs, so a very long payload needs little memory.
@@ -128,6 +129,50 @@ def features(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mel, segments(mel)
 
 
+def tensor_windows(mel: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+    """Fixed-shape tensors of TENSOR_FRAMES x MELS with start_s, end_s and active (share of frames).
+
+    The last one is padded with the document's lowest value.
+    """
+    step, length = HOP * DOWN / UP / RATE, FRAME * DOWN / UP / RATE
+    n = -(-len(mel) // TENSOR_FRAMES)
+    full = np.full((n * TENSOR_FRAMES, MELS), mel.min(), np.float32)
+    full[: len(mel)] = mel
+    inside = np.zeros(len(mel) + 1, np.int64)
+    inside[found[:, 0]] += 1
+    inside[found[:, 1]] -= 1
+    active = np.concatenate(([0], np.cumsum(np.cumsum(inside[:-1]))))
+    at = np.arange(n) * TENSOR_FRAMES
+    ends = np.minimum(at + TENSOR_FRAMES, len(mel))
+    tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, TENSOR_FRAMES, MELS))
+    cols = [tensor, pa.array(at * step), pa.array((ends - 1) * step + length), pa.array((active[ends] - active[at]) / (ends - at))]
+    return pa.RecordBatch.from_arrays(cols, ["tensor", "start_s", "end_s", "active"])
+
+
+def store_tensors(media: DataFrame) -> DataFrame:
+    """Staged table of doc_id, n_windows and windows: an Arrow stream with a fixed-shape tensor column and time spans."""
+    key = media.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                own = [tensor_windows(*features(from_wav(b.as_py()))) for b in batch.column(1).slice(a, 256)]
+                blobs = []
+                for windows in own:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, windows.schema) as out:
+                        out.write_batch(windows)
+                    blobs.append(sink.getvalue().to_pybytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), pa.array([w.num_rows for w in own], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n_windows", "windows"])
+
+    return staged(media.select("doc_id", "media").mapInArrow(run, f"doc_id {key}, n_windows long, windows binary"))
+
+
+def read_tensors(windows: bytes) -> pa.RecordBatch:
+    """What ``store_tensors`` wrote of one document."""
+    return pa.ipc.open_stream(windows).read_next_batch()
+
+
 def store_media(docs: DataFrame) -> DataFrame:
     """Staged table of doc_id, n_bytes and media (WAV blobs)."""
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -159,7 +204,8 @@ def media_digests(media: DataFrame) -> DataFrame:
                 blob = blob.as_py()
                 payload = from_wav(blob)
                 mel, found = features(payload)
-                bands = ",".join(str(int(v)) for v in np.floor(mel.mean(axis=0, dtype=np.float64) + 0.5))
+                frames = tensor_windows(mel, found).column(0).to_numpy_ndarray().reshape(-1, MELS)[: len(mel)]
+                bands = ",".join(str(int(v)) for v in np.floor(frames.mean(axis=0, dtype=np.float64) + 0.5))
                 text = f"frames={len(mel)};segments={len(found)};active={int((found[:, 1] - found[:, 0]).sum())};mel={bands}"
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), text))
             if rows:
@@ -172,28 +218,21 @@ def media_digests(media: DataFrame) -> DataFrame:
 
 
 def media_tensors(media: DataFrame) -> DataFrame:
-    """Fixed-shape tensors: doc_id, window, start_s, end_s, active (share of frames), tensor.
+    """The tensors as rows: doc_id, window, start_s, end_s, active, tensor.
 
-    ``tensor`` has TENSOR_FRAMES * MELS values, frame by frame; the last one of
-    a document is padded with its lowest value. In Arrow it is a fixed-size list.
+    ``tensor`` has TENSOR_FRAMES * MELS values, frame by frame. Spark has no
+    fixed-size lists, so here it is an array; ``store_tensors`` keeps the
+    Arrow type.
     """
     key = media.schema["doc_id"].dataType.simpleString()
-    step, length = HOP * DOWN / UP / RATE, FRAME * DOWN / UP / RATE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, blob in zip(batch.column(0), batch.column(1), strict=True):
-                mel, found = features(from_wav(blob.as_py()))
-                active = np.zeros(len(mel))
-                for a, b in found:
-                    active[a:b] = 1
-                n = -(-len(mel) // TENSOR_FRAMES)
-                full = np.full((n * TENSOR_FRAMES, MELS), mel.min(), np.float32)
-                full[: len(mel)] = mel
-                at = np.arange(n) * TENSOR_FRAMES
-                ends = np.minimum(at + TENSOR_FRAMES, len(mel))
-                tensor = pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), TENSOR_FRAMES * MELS).cast(pa.list_(pa.float32()))
-                cols = [pa.array([k.as_py()] * n, k.type), pa.array(np.arange(n), pa.int32()), pa.array(at * step), pa.array((ends - 1) * step + length), pa.array([active[a:b].mean() for a, b in zip(at, ends, strict=True)]), tensor]
+                windows = tensor_windows(*features(from_wav(blob.as_py())))
+                n = windows.num_rows
+                tensor = windows.column("tensor").storage.cast(pa.list_(pa.float32()))
+                cols = [pa.array([k.as_py()] * n, k.type), pa.array(np.arange(n), pa.int32()), *(windows.column(c) for c in ("start_s", "end_s", "active")), tensor]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "window", "start_s", "end_s", "active", "tensor"])
 
     return media.select("doc_id", "media").mapInArrow(run, f"doc_id {key}, window int, start_s double, end_s double, active double, tensor array<float>")

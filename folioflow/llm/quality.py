@@ -8,7 +8,7 @@ The threshold, and which statistics
 are split on, come from labelled rows.
 
 Training uses at most ``fit_rows`` labelled rows, those with the smallest
-hashes of doc_id; the statistics and verdicts cover every whole text.
+hashes of doc_id (two labels of one doc_id are two rows); the statistics and verdicts cover every whole text.
 
 Scale: fitting reads the labelled sample's texts through a broadcast of at most
 ``fit_rows`` ids; applying is one map over the documents without a shuffle.
@@ -211,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quality
             yield pa.RecordBatch.from_arrays(cols, ["quality", *names])
 
     rows = sample.withColumn("quality", F.col("quality").cast("int")).mapInArrow(run, "quality int, " + ", ".join(f"{n} double" for n in names))
-    rows = rows.limit(2 * fit_rows).toPandas().sort_values(["quality", *names])
+    # Ids that several documents share could give more rows than labels; then those with the smallest hashes stay.
+    rows = rows.orderBy(F.xxhash64("quality", *names), "quality", *names).limit(fit_rows).toPandas().sort_values(["quality", *names])
     x, good = rows[names].to_numpy(), rows["quality"].to_numpy() == 1
     if len(x) < 16 or good.all() or not good.any():
         return QualityModel(None, 1.0)

@@ -98,4 +98,19 @@ SELECT doc_id, size, source_size, target,
 FROM k
 """
 
-ORACLE_SQL = {"op6_mixing": _OP6_SQL}
+_OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+g AS (SELECT r, k, i, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT r, k, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT g, min(k) AS least FROM g GROUP BY g),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM (SELECT r, i FROM g JOIN f USING (g) WHERE least < k)),
+v AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+s AS (
+  SELECT v.r, count(c.p) AS n_removed, string_agg(word, ' ' ORDER BY v.p) FILTER (WHERE c.p IS NULL) AS kept
+  FROM v LEFT JOIN c ON v.r = c.r AND v.p = c.p GROUP BY v.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s ON d.r = s.r
+"""
+
+ORACLE_SQL = {"op6_mixing": _OP6_SQL, "op7_substring_dedup": _OP7_SQL}

@@ -10,7 +10,8 @@ text's matched weight, exceptions taken away, is normalised by its length and
 turned into a probability by a logistic curve.
 
 Learning uses at most ``fit_rows`` labelled rows, those with the smallest
-hashes of doc_id; exact repeats of a text count once.
+hashes of doc_id (two labels of one doc_id are two rows); exact repeats of a
+text with one label count once.
 
 Scale: the sample's ids (at most fit_rows) are broadcast to one scan that
 counts words next to the data; the lexicon has at most LEXICON entries.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import fold, staged
 
 #: Labelled rows to learn from; most words in the lexicon and phrases beside it.
-FIT_ROWS, LEXICON, PHRASES, CANDIDATES = 20_000, 2000, 500, 50_000
+FIT_ROWS, LEXICON, PHRASES = 20_000, 2000, 500
 #: A lexicon term needs so many toxic rows, such a share of them, and such log odds; letters of stems.
 LEAST_ROWS, LEAST_SHARE, LEAST_ODDS, STEM = 5, 0.01, 1.5, (5, 9)
 
@@ -227,8 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, held_out_o
     sample = staged(sample)
     rows = lambda frame: {r["term"]: (r["texts"], r["places"]) for r in frame.collect()}
     toxic, clean = sample.where("toxic = 1"), sample.where("toxic = 0")
-    likely = _counted(toxic).where(F.col("texts") >= LEAST_ROWS).orderBy(F.desc(F.col("term") == ""), F.desc("texts"), "term").limit(CANDIDATES)
-    bad = rows(likely) if toxic.count() >= LEAST_ROWS else {}
+    # Terms of a LEAST_SHARE of the texts: at most 1 / LEAST_SHARE times as many as a text has on average.
+    n = toxic.count()
+    likely = _counted(toxic).where((F.col("term") == "") | (F.col("texts") >= max(LEAST_ROWS, LEAST_SHARE * n)))
+    bad = rows(likely) if n >= LEAST_ROWS else {}
     good = rows(_counted(clean, {*bad})) if bad else {}
     if not bad.get("", (0, 0))[0] or not good.get("", (0, 0))[0]:
         return Lexicon({}, {})
@@ -246,7 +249,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, held_out_o
             x = [shared.value.features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.float64()), *(pa.array([v[k] for v in x], pa.float64()) for k in range(len(names)))], ["y", *names])
 
-    points = sample.mapInArrow(run, "y double, " + ", ".join(f"{c} double" for c in names)).limit(2 * fit_rows).toPandas().sort_values(["y", *names])
+    points = sample.mapInArrow(run, "y double, " + ", ".join(f"{c} double" for c in names))
+    # Ids that several documents share could give more rows than labels; then those with the smallest hashes stay.
+    points = points.orderBy(F.xxhash64("y", *names), "y", *names).limit(fit_rows).toPandas().sort_values(["y", *names])
     lexicon.curve = logistic(points[names].to_numpy(), points["y"].to_numpy())
     return lexicon
 
