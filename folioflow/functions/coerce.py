@@ -70,6 +70,16 @@ def text_or(text: Column, least: int, default: str) -> Column:
     return F.when(F.length(F.coalesce(text, F.lit(""))) >= least, text).otherwise(default)
 
 
+def engine_service(engine: Column, service: Column, second: Column, engines: tuple[str, ...] = ("engine-1", "engine-2"), defaults: tuple[str, str] = ("bing", "siliconflowfree")) -> Column:
+    """The service of a request: the second engine has a field of its own, which goes before the common one.
+
+    An absent, blank or too short name is the engine's default.
+    """
+    first = text_or(service, 3, defaults[0])
+    own = F.coalesce(F.nullif(second, F.lit("")), service)
+    return F.when(engine_or(engine, engines) == engines[0], first).otherwise(text_or(own, 3, defaults[1]))
+
+
 def engine_or(text: Column, known: tuple[str, ...]) -> Column:
     return F.when(text.isin(*known), text).otherwise(known[0])
 
@@ -106,6 +116,12 @@ def is_pdf(content: Column) -> Column:
     return F.coalesce(F.contains(head, F.lit(PDF_HEAD)) & F.contains(tail, F.lit(PDF_TAIL)), F.lit(False))
 
 
+def is_zip(content: Column) -> Column:
+    """The two letters of an archive at the head, and the mark of its directory's end in the last 65557 bytes."""
+    tail = F.substring(content, F.greatest(F.octet_length(content) - 65556, F.lit(1)), F.lit(65557))
+    return F.coalesce(content.startswith(F.lit(b"PK")) & F.contains(tail, F.lit(b"PK\x05\x06")), F.lit(False))
+
+
 def is_html(content_type: Column, content: Column) -> Column:
     head = F.lower(F.ltrim(F.substring(content, 1, 200)))
     return F.coalesce(F.lower(content_type).contains("text/html"), F.lit(False)) | head.startswith("<!doctype html") | head.startswith("<html")
@@ -119,6 +135,11 @@ def task_id(camel: Column, snake: Column) -> Column:
     return F.nullif(F.trim(F.coalesce(camel, snake)), F.lit(""))
 
 
+def effective_model(model: Column, configured: Column) -> Column:
+    """The request's model, else the one in the stored configuration, trimmed; empty if there is none."""
+    return F.trim(F.coalesce(F.nullif(model, F.lit("")), configured, F.lit("")))
+
+
 def controlled_model(model: Column) -> Column:
     return F.coalesce(F.trim(model).startswith(MODEL_PREFIX), F.lit(False))
 

@@ -272,8 +272,12 @@ def value_error(trace: Column) -> Column:
 
 
 def error_summary(trace: Column, fallback: Column) -> Column:
-    """The ValueError, else the last line with text, else the error's class name."""
-    lines = F.filter(F.transform(F.split(F.coalesce(trace, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    """The ValueError, else the last line with text that doesn't begin with ``Traceback`` or ``File ``, else the error's class name.
+
+    A line keeps its indentation, so an indented ``File`` line counts.
+    """
+    lines = F.transform(F.split(F.coalesce(trace, F.lit("")), r"\r\n|\n|\r"), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    lines = F.filter(lines, lambda x: (x != "") & ~x.startswith("Traceback") & ~x.startswith("File "))
     return F.coalesce(value_error(trace), F.when(F.size(lines) > 0, F.element_at(lines, -1)), fallback)
 
 
@@ -287,7 +291,13 @@ def badge_url(label: Column, message: Column) -> Column:
 
 def model_list_request(service: Column, base: Column, key: Column) -> Column:
     """URL and way of signing for a service's list of models; null where a key or base is missing."""
-    url = trimmed_url(base)
+    # Addresses of services that have one of their own.
+    known = {
+        "openailiked": "https://ark.cn-beijing.volces.com/api/v3", "AliyunDashScope": "https://dashscope.aliyuncs.com/compatible-mode/v1", "silicon": "https://api.siliconflow.cn/v1",
+        "zhipu": "https://api.zhipu.com/v1", "modelscope": "https://api.modelscope.com/v1", "tencent": "https://tencent.com", "xinference": "http://127.0.0.1:9997",
+    }
+    addresses = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    url = trimmed_url(F.coalesce(F.nullif(base, F.lit("")), F.try_element_at(addresses, service)))
     has_key, keyed = F.coalesce(key, F.lit("")) != "", service.isin("deepseek", "openai", "gemini")
     # Public end points used where no base is given.
     base_or = lambda x: F.coalesce(F.nullif(url, F.lit("")), F.lit(x))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Notices that may hold for all versions, a broadcast of a few MB.
+MOST_GENERAL = 20_000
+
+
 def version_key(text: Column) -> Column:
     """The first four numbers of a version as an array; ``[0]`` if there is none."""
     found = F.transform(F.slice(F.regexp_extract_all(text, F.lit("([0-9]+)"), 1), 1, 4), lambda x: x.cast("int"))
@@ -35,16 +39,22 @@ def missing(expected: DataFrame, files: DataFrame) -> DataFrame:
 def applicable(notices: DataFrame, versions: DataFrame) -> DataFrame:
     """(id, version) of enabled notices that name the version, or all, and hold it within their bounds.
 
-    The notices are a small dimension; the join is a range join on version keys.
+    Notices that name versions meet them in an equi-join. Those for all
+    versions are a dimension: they are counted, at most MOST_GENERAL, and
+    broadcast to the versions.
     """
     bare = lambda c: F.regexp_replace(F.trim(c), "^v+", "")
     affects = F.filter(F.transform(F.coalesce("affects", F.array().cast("array<string>")), bare), lambda x: x != "")
     n = notices.where(F.coalesce("enabled", F.lit(True))).withColumn("_affects", affects)
     n = n.select("id", "_affects", F.when(F.coalesce("min_version", F.lit("")) != "", version_key(F.col("min_version"))).alias("_min"), F.when(F.coalesce("max_version", F.lit("")) != "", version_key(F.col("max_version"))).alias("_max"))
     v = versions.select("version", bare(F.col("version")).alias("_v")).withColumn("_key", version_key(F.col("_v")))
-    named = (F.size("_affects") == 0) | F.arrays_overlap("_affects", F.array(F.lit("*"), F.lit("all"))) | F.array_contains("_affects", F.col("_v"))
+    general = (F.size("_affects") == 0) | F.arrays_overlap("_affects", F.array(F.lit("*"), F.lit("all")))
     within = (F.col("_min").isNull() | (F.col("_key") >= F.col("_min"))) & (F.col("_max").isNull() | (F.col("_key") <= F.col("_max")))
-    return v.join(n, named & within).select("id", "version")
+    named = n.where(~general).withColumn("_v", F.explode(F.array_distinct("_affects"))).join(v, "_v").where(within)
+    every = n.where(general)
+    if every.count() > MOST_GENERAL:
+        raise ValueError(f"more than {MOST_GENERAL} notices for all versions: one for each version would be too many rows")
+    return named.select("id", "version").unionByName(v.join(F.broadcast(every), within).select("id", "version"))
 
 
 def newest_version(rows: DataFrame, group: str) -> DataFrame:
@@ -113,21 +123,33 @@ def attachment_key(parent: Column, service: Column, kind: Column, leaf: Column)
 
 
 def satisfied(requirements: DataFrame, installed: DataFrame) -> DataFrame:
-    """requirement, met: a left join on package names and a check of each version bound (==, >=, <=, >, <, !=, ~=)."""
+    """requirement, met: a left join on package names and a check of all version bounds.
+
+    Bounds (==, !=, >=, <=, >, <, ~=) are separated by commas, and all must
+    hold; ``.*`` behind == and != compares the numbers before it. Extras in
+    brackets and what follows a semicolon don't count.
+    """
     from folioflow.functions.names import package_name
 
-    r = requirements.withColumns({"_p": package_name(F.col("requirement")), "_op": F.regexp_extract("requirement", r"(==|>=|<=|!=|~=|>|<)\s*[0-9v]", 1), "_v": F.regexp_extract("requirement", r"(?:==|>=|<=|!=|~=|>|<)\s*v?([0-9][0-9.]*)", 1)})
+    bare = F.regexp_replace(F.regexp_replace("requirement", ";.*$", ""), r"\[[^\]]*\]", "")
+    bound = r"(==|>=|<=|!=|~=|>|<)\s*v?([0-9][0-9.]*\*?)"
+    r = requirements.withColumn("_bare", bare)
+    r = r.withColumns({"_p": package_name(F.col("_bare")), "_ops": F.regexp_extract_all("_bare", F.lit(bound), 1), "_vs": F.regexp_extract_all("_bare", F.lit(bound), 2)})
     i = installed.select(package_name(F.col("package")).alias("_p"), F.col("version").alias("_have"))
-    rows = r.join(i, "_p", "left")
     pad = lambda c: F.slice(F.concat(version_key(c), F.array_repeat(F.lit(0), 4)), 1, 4)
-    have, want = pad(F.col("_have")), pad(F.col("_v"))
-    head = F.greatest(F.size(F.split("_v", r"\.")) - 1, F.lit(1))
-    close = (have >= want) & (F.slice(have, F.lit(1), head) == F.slice(want, F.lit(1), head))
-    ok = (
-        F.when(F.col("_op") == "", True).when(F.col("_op") == "==", have == want).when(F.col("_op") == ">=", have >= want).when(F.col("_op") == "<=", have <= want)
-        .when(F.col("_op") == "!=", have != want).when(F.col("_op") == "~=", close).when(F.col("_op") == ">", have > want).otherwise(have < want)
-    )
-    return rows.select("id", "requirement", (F.col("_have").isNotNull() & ok).alias("met"))
+    have = pad(F.col("_have"))
+
+    def holds(x: Column) -> Column:
+        op, v = x["_ops"], x["_vs"]
+        want, numbers = pad(v), F.size(F.filter(F.split(v, r"\."), lambda n: (n != "*") & (n != "")))
+        alike = lambda n: F.slice(have, F.lit(1), n) == F.slice(want, F.lit(1), n)
+        same = F.when(v.endswith("*"), alike(numbers)).otherwise(have == want)
+        return (
+            F.when(op == "==", same).when(op == "!=", ~same).when(op == ">=", have >= want).when(op == "<=", have <= want).when(op == ">", have > want).when(op == "<", have < want)
+            .otherwise((have >= want) & alike(F.greatest(numbers - 1, F.lit(1))))
+        )
+
+    return r.join(i, "_p", "left").select("id", "requirement", (F.col("_have").isNotNull() & F.forall(F.arrays_zip("_ops", "_vs"), holds)).alias("met"))
 
 
 def model_ids(payload: Column) -> Column:

@@ -47,14 +47,25 @@ def changed(old: DataFrame, new: DataFrame, group: str) -> DataFrame:
     return old.exceptAll(new).select(group).union(new.exceptAll(old).select(group)).distinct()
 
 
-def updated_provider(stored: DataFrame, sent: DataFrame, group: str, keep_blank: bool) -> DataFrame:
+def typed_text(key: Column, value: Column) -> Column:
+    """An extra value as it is written: true or false for flags, digits for whole numbers, else the text."""
+    from folioflow.functions.coerce import extra_value
+
+    x = extra_value(key, value)
+    return F.when(x["kind"] == "bool", x["b"].cast("string")).when(x["kind"] == "int", x["i"].cast("string")).otherwise(value)
+
+
+def updated_provider(stored: DataFrame, sent: DataFrame, group: str, keep_blank: bool, typed: bool = False) -> DataFrame:
     """group, key, value after an update.
 
     ``stored``: group, key, value, listed (in the service's whitelist).
     ``sent``: group, key, value, base (one of the three base keys). Blank values
     aren't written. A stored key stays if it is listed, sent with a value, or,
-    with ``keep_blank``, a fixed key or a base key that was sent blank.
+    with ``keep_blank``, a fixed key or a base key that was sent blank. With
+    ``typed`` extra values are coerced before they are written.
     """
+    if typed:
+        sent = sent.withColumn("value", F.when(F.col("base"), F.col("value")).otherwise(typed_text(F.col("key"), F.col("value"))))
     filled = sent.where(F.coalesce("value", F.lit("")) != "").select(group, "key", F.struct("value").alias("_new"))
     kept = stored.where("listed").select(group, "key")
     if keep_blank:

@@ -6,6 +6,7 @@ running windows per job, so they have partial aggregation or one shuffle by job.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,11 @@ MAIN = r"(?i)\btranslate\s+[^a-z()\r\n]*?([0-9]+)/([0-9]+)\b"
 STEP = r"(.+?)\([0-9]+/[0-9]+\)\s+.*?([0-9]+)/([0-9]+)"
 BAR = r"\|\s*([0-9]+)/([0-9]+)\s+\["
 LEGACY = r"(?i)(?:translate|Running|Parse).*?([0-9]+)/([0-9]+)"
-HISTORY_ROWS, KEEP_SECONDS, GRACE_SECONDS, MILESTONES = 200, 30, 20, (25, 50, 75, 90)
+PAGE = r"(?i)(?:page|页面)\s*[:：]?\s*([0-9]+)"
+WORK_WORDS = ("translating", "翻译", "processing", "处理")
+#: Status words of records; ours are English.
+DONE_WORDS, FAILED_WORDS = ("完成", "success", "done"), ("失败", "failed")
+HISTORY_ROWS, KEEP_SECONDS, GRACE_SECONDS, MILESTONES, MOST_SHOWN = 200, 30, 20, (25, 50, 75, 90), 95
 
 
 def percent_of(curr: Column, total: Column) -> Column:
@@ -70,12 +75,15 @@ def still_listed(jobs: DataFrame, as_of: Column) -> DataFrame:
     return jobs.where(F.col("ended").isNull() | (F.col("ended") > as_of - F.expr(f"INTERVAL {KEEP_SECONDS} SECONDS")))
 
 
-def poll_verdict(wanted: Column, task: Column, finished: Column, status: Column, nested: Column, files: Column) -> Column:
-    """pending, error, success or no-files for a polled record; ``nested``: a result's status, ``files``: how many."""
+def poll_verdict(wanted: Column, task: Column, finished: Column, status: Column, nested: Column, files: Column, good: tuple[str, ...] = DONE_WORDS, bad: tuple[str, ...] = FAILED_WORDS) -> Column:
+    """pending, error, success or no-files for a polled record; ``nested``: a result's status, ``files``: how many.
+
+    ``good`` and ``bad``: status words of records that mean done and failed.
+    """
     word = F.coalesce(F.nullif(status, F.lit("")), nested, F.lit(""))
-    good = word.isin("done", "success")
-    failed = (word == "failed") | F.coalesce(nested == "error", F.lit(False)) | (finished & ~good)
-    over = finished | good | F.coalesce(nested == "success", F.lit(False))
+    done = word.isin(*good)
+    failed = word.isin(*bad) | F.coalesce(nested == "error", F.lit(False)) | (finished & ~done)
+    over = finished | done | F.coalesce(nested == "success", F.lit(False))
     return F.when(F.coalesce(task != wanted, F.lit(True)), "pending").when(failed, "error").when(over & (files > 0), "success").when(over, "no-files").otherwise("pending")
 
 
@@ -111,12 +119,21 @@ def batch_verdict(failed: Column, total: Column) -> Column:
     return F.when(failed == 0, "success").when(failed >= total, "failed").otherwise("mixed")
 
 
-def milestone(now: Column, before: Column) -> Column:
-    """The first milestone passed between two progress values."""
-    out = F.lit(None).cast("int")
-    for m in reversed(MILESTONES):
-        out = F.when((before < m) & (now >= m), m).otherwise(out)
-    return out
+def milestones(looks: DataFrame) -> DataFrame:
+    """job, seq, milestone: which milestone is told at which look (job, seq, progress).
+
+    A look tells one milestone at most: the first above the last one told that
+    progress, capped at MOST_SHOWN, has reached. So the next is told at the
+    first later look that has reached it, and falling back tells nothing.
+    """
+    job = Window.partitionBy("job")
+    shown, rows, last, told = F.least("progress", F.lit(MOST_SHOWN)), looks, F.lit(None).cast("long"), F.lit(None).cast("int")
+    for k, m in enumerate(MILESTONES):
+        hit = (shown >= m) if k == 0 else (shown >= m) & (F.col("seq") > last)
+        rows = rows.withColumn(f"_at{m}", F.min(F.when(hit, F.col("seq"))).over(job))
+        last = F.col(f"_at{m}")
+        told = F.when(F.col("seq") == last, m).otherwise(told)
+    return rows.where(F.coalesce(*(F.when(F.col("seq") == F.col(f"_at{m}"), True) for m in MILESTONES), F.lit(False))).select("job", "seq", told.alias("milestone"))
 
 
 def console_progress(rows: DataFrame) -> DataFrame:
@@ -124,28 +141,69 @@ def console_progress(rows: DataFrame) -> DataFrame:
 
     ``rows``: job, tick, cursor, row, curr, total. The first tick with a
     candidate locks its largest total; ties go to the row nearest the cursor,
-    then the lower one on screen, then the larger count. Later ticks take that
-    total's row nearest to the cursor. Reports never fall and stay below 100.
+    then the lower one on screen, then the larger count. A later tick takes the
+    row with that total nearest to the last one taken, then to the cursor. A
+    count below the last one is passed over. Reports rise and stay below 100.
+
+    Each tick depends on the one before, so a job's rows are folded in one
+    task; a job has as many as its console was looked at.
     """
     rows = rows.where("total > 0")
-    first = rows.groupBy("job").agg(F.min_by("total", F.struct("tick", -F.col("total"))).alias("locked"), F.min("tick").alias("first"))
-    rows = rows.join(first, "job").where("total = locked")
-    near = F.abs(F.col("row") - F.col("cursor"))
-    best = rows.groupBy("job", "tick").agg(F.min(F.struct(near.alias("d"), (-F.col("row")).alias("r"), (-F.col("curr")).alias("c"), "total")).alias("b"))
-    best = best.select("job", "tick", (-F.col("b.c")).alias("curr"), F.col("b.total").alias("total"))
-    before = Window.partitionBy("job").orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
-    told = best.withColumn("_most", F.max("curr").over(before)).where(F.col("_most").isNull() | (F.col("curr") > F.col("_most")))
+    first = rows.groupBy("job").agg(F.min_by("total", F.struct("tick", -F.col("total"))).alias("locked"))
+    rows = rows.join(first, "job").where("total = locked").select("job", "tick", "cursor", "row", "curr", "total")
+    key = rows.schema["job"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("tick", "ascending"), ("row", "ascending")])
+        told: list[tuple[int, int]] = []
+        place = count = tick = None
+        seen: list[tuple[int, int, int]] = []
+
+        def look() -> None:
+            nonlocal place, count
+            if place is None:
+                row, curr = min((abs(r - c), -r, -n, r, n) for r, n, c in seen)[3:]
+            else:
+                row, curr = min((abs(r - place), abs(r - c), -r, k, r, n) for k, (r, n, c) in enumerate(seen))[4:]
+            if count is None or curr >= count:
+                if curr != count:
+                    told.append((tick, curr))
+                place, count = row, curr
+
+        for t, cursor, row, curr in zip(*(table.column(c).to_pylist() for c in ("tick", "cursor", "row", "curr")), strict=True):
+            if seen and t != tick:
+                look()
+                seen = []
+            tick = t
+            seen.append((row, curr, cursor))
+        if seen:
+            look()
+        job, total = table.column("job")[0], table.column("total")[0].as_py()
+        return pa.table([pa.array([job.as_py()] * len(told), job.type), pa.array([t for t, _ in told], pa.int64()), pa.array([c for _, c in told], pa.int64()), pa.array([total] * len(told), pa.int64())], ["job", "tick", "curr", "total"])
+
+    told = rows.withColumns({c: F.col(c).cast("long") for c in ("tick", "cursor", "row", "curr", "total")}).groupBy("job").applyInArrow(run, f"job {key}, tick long, curr long, total long")
     return told.select("job", "tick", "curr", F.when(F.col("curr") >= F.col("total"), 99).otherwise(percent_of(F.col("curr"), F.col("total"))).alias("percent"))
 
 
-def helper_progress(line: Column) -> Column:
-    """Percent in a helper's line: a page count, or a number before a percent sign."""
-    a, b = _pair(line, r"(?i)page\s+([0-9]+)\s*(?:/|of)\s*([0-9]+)")
-    return F.coalesce(percent_of(a, b), F.regexp_extract(line, r"([0-9]{1,3})(?:\.[0-9]+)?%", 1).try_cast("int"))
+def helper_progress(line: Column, pages: Column) -> tuple[Column, Column]:
+    """Percent that a helper's line tells (null if none), and whether a line without one makes progress creep.
+
+    A page number counts against the job's pages; without pages it counts two
+    percent a page, 90 at most. Else a number before a percent sign counts, and
+    else a word of work.
+    """
+    page = F.regexp_extract(line, PAGE, 1).try_cast("double")
+    share = F.when(pages > 0, page / pages * 100).when(page.isNotNull(), F.least(page * 2, F.lit(90.0)))
+    said = F.coalesce(share, F.regexp_extract(line, r"([0-9]+(?:\.[0-9]+)?)\s*%", 1).try_cast("double"))
+    return said, said.isNull() & F.lower(line).rlike("|".join(WORK_WORDS))
 
 
 def creeping(rows: DataFrame) -> DataFrame:
-    """Fold of (job, seq, said): a said percent counts if higher; silence adds 0.5 while below 80."""
-    ordered = F.sort_array(F.collect_list(F.struct("seq", "said")))
-    step = lambda p, x: F.when(x["said"].isNotNull(), F.greatest(p, x["said"].cast("double"))).when(p < 80, p + 0.5).otherwise(p)
-    return rows.groupBy("job").agg(F.aggregate(ordered, F.lit(0.0), step).alias("progress"))
+    """Add ``progress`` to rows (job, seq, said, creeps): a said percent counts, up or down; each creeping line adds 0.5 while below 80."""
+    so_far = Window.partitionBy("job").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_run", F.count("said").over(so_far))
+    run = Window.partitionBy("job", "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    base = F.coalesce(F.first("said").over(run), F.lit(0.0))
+    crept = F.sum((F.col("creeps") & F.col("said").isNull()).cast("int")).over(run)
+    most = F.greatest(F.ceil((F.lit(80) - base) / 0.5), F.lit(0))
+    return rows.withColumn("progress", base + F.least(crept, most) * 0.5).drop("_run")

@@ -142,14 +142,16 @@ def batch_counts(df: DataFrame) -> DataFrame:
     return o.batch_counts(df, "item").join(files, "item")
 
 
-_REQS = f"SELECT p_partkey AS id, {pick('p_partkey', ['Torch_Vision', 'numpy', 'a.b', 'none'])} || {pick('CAST(floor(p_partkey / 4) AS BIGINT)', ['==1.2.0', '>=1.0', '<2', '~=1.1', '', '!=1.2', '>1.3'])} AS requirement FROM {{part}}"
+_BOUNDS = ["==1.2.0", ">=1.0", "<2", "~=1.1", "", "!=1.2", ">1.3", ">=1.0,<1.3", ">=1.1, !=1.2.*, <3", "==1.*", "[gpu]>=2 ; python_version > '3'", "<=1.3.1,>1.2"]
+_REQS = f"SELECT p_partkey AS id, {pick('p_partkey', ['Torch_Vision', 'numpy', 'a.b', 'none'])} || {pick('CAST(floor(p_partkey / 4) AS BIGINT)', _BOUNDS)} AS requirement FROM {{part}}"
 _HAVE = "SELECT 'torch-vision' AS package, '1.2' AS version UNION ALL SELECT 'NumPy', 'v1.3.1' UNION ALL SELECT 'A_B', '2.0'"
 
 
 @query("a3_20_21_requirements", _REQS, """
-+ b AS (SELECT *, lower(regexp_replace(regexp_extract(requirement, '^([^=<>!~]*)', 1), '[-_.]+', '-', 'g')) AS p, regexp_extract(requirement, '(==|>=|<=|!=|~=|>|<)', 1) AS op FROM src),
++ b AS (SELECT *, lower(regexp_replace(regexp_extract(requirement, '^([^=<>!~[]*)', 1), '[-_.]+', '-', 'g')) AS p, regexp_extract(requirement, '^[^=<>!~[]*(.*)$', 1) AS spec FROM src),
  h AS (SELECT 'torch-vision' AS p, 10200 AS v UNION ALL SELECT 'numpy', 10301 UNION ALL SELECT 'a-b', 20000)
-SELECT id, requirement, h.v IS NOT NULL AND CASE op WHEN '==' THEN v = 10200 WHEN '>=' THEN v >= 10000 WHEN '<' THEN v < 20000 WHEN '~=' THEN v >= 10100 AND v < 20000 WHEN '!=' THEN v <> 10200 WHEN '>' THEN v > 10300 ELSE true END AS met FROM b LEFT JOIN h ON b.p = h.p""", installed=_HAVE)
+SELECT id, requirement, h.v IS NOT NULL AND CASE spec WHEN '' THEN true WHEN '==1.2.0' THEN v = 10200 WHEN '>=1.0' THEN v >= 10000 WHEN '<2' THEN v < 20000 WHEN '~=1.1' THEN v >= 10100 AND v < 20000 WHEN '!=1.2' THEN v <> 10200 WHEN '>1.3' THEN v > 10300
+  WHEN '>=1.0,<1.3' THEN v >= 10000 AND v < 10300 WHEN '>=1.1, !=1.2.*, <3' THEN v >= 10100 AND v // 100 <> 102 AND v < 30000 WHEN '==1.*' THEN v // 10000 = 1 WHEN '<=1.3.1,>1.2' THEN v <= 10301 AND v > 10200 ELSE v >= 20000 END AS met FROM b LEFT JOIN h ON b.p = h.p""", installed=_HAVE)
 def requirements(df: DataFrame, installed: DataFrame) -> DataFrame:
     return o.satisfied(df, installed)
 

@@ -52,14 +52,20 @@ _UPDATE = """
 SELECT coalesce(f.svc, o.svc) AS svc, coalesce(f.key, o.key) AS key, coalesce(f.value, o.value) AS value FROM o FULL JOIN f ON o.svc = f.svc AND o.key = f.key"""
 
 
+_SENT_2 = f"SELECT s_suppkey AS svc, {pick('n', ['API_KEY', 'API_URL', 'num_predict', 'extra_send_temprature', 'x_enable_json_mode'])} AS key, {pick('s_suppkey * 5 + n', ['', None, ' OFF ', 'Yes', '007', 'often', '0', '-12 ', 'true', ' 1', 'no'])} AS value, n < 2 AS base FROM (SELECT s_suppkey, r_regionkey AS n FROM {{supplier}} CROSS JOIN {{region}}) AS x"
+_TYPED = """typed AS (SELECT svc, key, CASE WHEN base THEN value
+  WHEN regexp_matches(key, '(_send_temprature|_enable_json_mode)$') AND lower(trim(value)) IN ('true','1','yes','on') THEN 'true' WHEN regexp_matches(key, '(_send_temprature|_enable_json_mode)$') AND lower(trim(value)) IN ('false','0','no','off') THEN 'false'
+  WHEN key = 'num_predict' AND regexp_matches(trim(value), '^[+-]?[0-9]+$') THEN CAST(CAST(trim(value) AS INT) AS STRING) ELSE value END AS value FROM sent)"""
+
+
 @query("a6_05_update_engine_1", _STORED, _UPDATE.format(keep=""), sent=_SENT)
 def update_engine_1(df: DataFrame, sent: DataFrame) -> DataFrame:
     return merge.updated_provider(df, sent, "svc", keep_blank=False)
 
 
-@query("a6_06_update_engine_2", _STORED, _UPDATE.format(keep="key IN ('translate_engine_type','support_llm') OR EXISTS (SELECT 1 FROM sent b WHERE b.svc = s.svc AND b.key = s.key AND b.base) OR "), sent=_SENT)
+@query("a6_06_update_engine_2", _STORED, _UPDATE.replace("FROM sent WHERE coalesce", "FROM typed WHERE coalesce").replace("+ f AS", "+ " + _TYPED + ", f AS").format(keep="key IN ('translate_engine_type','support_llm') OR EXISTS (SELECT 1 FROM sent b WHERE b.svc = s.svc AND b.key = s.key AND b.base) OR "), sent=_SENT_2)
 def update_engine_2(df: DataFrame, sent: DataFrame) -> DataFrame:
-    return merge.updated_provider(df, sent, "svc", keep_blank=True)
+    return merge.updated_provider(df, sent, "svc", keep_blank=True, typed=True)
 
 
 _MISC = f"SELECT event_id AS id, CAST(event_id % 5 AS INT) AS pool, {pick('event_id', ['ModelScope', 'silicon', 'openai', 'qwen-mt'])} AS service, {pick('event_id', ['a|b', 'c', 'b|old'])} AS fresh, {pick('CAST(floor(event_id / 3) AS BIGINT)', ['b|x', 'old|y', 'c'])} AS saved, {pick('event_id', ['PythonPath', 'PATH', 'virtual_env'])} AS name, {pick('event_id', ['engine-1', 'engine-2', 'engine-3'])} AS engine, CAST(event_id % 6 AS STRING) AS version FROM {{events}}"
@@ -81,11 +87,13 @@ def settings(df: DataFrame, answers: DataFrame) -> DataFrame:
     )
 
 
-_LOG = f"SELECT user_id AS key, {pick('user_id', ['s1', 's2', 's3'])} AS service, event_id AS seq, CASE event_type WHEN 'view' THEN 'upsert' WHEN 'click' THEN 'activate' WHEN 'signup' THEN 'deactivate' WHEN 'error' THEN 'delete' ELSE 'upsert' END AS op, event_id % 3 = 0 AS active FROM {{events}}"
+_LOG = f"SELECT event_id % 997 AS key, {pick('event_id % 997 + CAST(floor(event_id / 4000) AS BIGINT)', [f's{k}' for k in range(40)])} AS service, event_id AS seq, CASE event_type WHEN 'view' THEN 'upsert' WHEN 'click' THEN 'activate' WHEN 'signup' THEN 'deactivate' WHEN 'error' THEN 'delete' ELSE 'upsert' END AS op, event_id % 3 = 0 AS active FROM {{events}}"
 _STATE = """
-+ o AS (SELECT *, CASE WHEN op = 'activate' OR op = 'upsert' AND active THEN true WHEN op IN ('deactivate','upsert') THEN false END AS sw FROM src),
- k AS (SELECT key, arg_max(op, seq) AS last, any_value(service) AS service, min(seq) AS first_seq, arg_max(sw, seq) FILTER (WHERE sw IS NOT NULL) AS sw, max(seq) FILTER (WHERE sw IS NOT NULL) AS sw_seq FROM o GROUP BY key),
- a AS (SELECT service, max(seq) AS last_on FROM o WHERE sw GROUP BY service), s AS (SELECT k.key, k.service, k.first_seq, coalesce(sw AND sw_seq = last_on, false) AS active FROM k LEFT JOIN a ON k.service = a.service WHERE last <> 'delete')
++ i AS (SELECT *, coalesce(sum((op = 'delete')::INT) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM src),
+ u AS (SELECT *, max(CASE WHEN op = 'upsert' THEN seq END) OVER (PARTITION BY key, life ORDER BY seq) AS put FROM i),
+ o AS (SELECT u.key, u.life, u.seq, u.op, p.service, CASE WHEN u.op = 'activate' OR u.op = 'upsert' AND u.active THEN true WHEN u.op IN ('deactivate','upsert') THEN false END AS sw FROM u JOIN src p ON p.key = u.key AND p.seq = u.put),
+ k AS (SELECT key, life, arg_max(service, seq) AS service, min(seq) AS first_seq, bool_or(op = 'delete') AS gone, arg_max(sw, seq) FILTER (WHERE sw IS NOT NULL) AS sw, max(seq) FILTER (WHERE sw IS NOT NULL) AS sw_seq FROM o GROUP BY key, life),
+ a AS (SELECT service, max(seq) AS last_on FROM o WHERE sw GROUP BY service), s AS (SELECT k.key, k.service, k.first_seq, coalesce(sw AND sw_seq = last_on, false) AS active FROM k LEFT JOIN a ON k.service = a.service WHERE NOT gone)
 """
 
 

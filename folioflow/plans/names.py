@@ -63,7 +63,7 @@ def derived_names(df: DataFrame) -> DataFrame:
     return df.select("id", n.derived_name(name, F.col("out_type"), F.col("engine")).alias("product"), n.layout_mode(name, mode).alias("layout"), n.layout_variants(name)["lr"].alias("lr_name"), n.canonical_dual(name, mode).alias("canonical"))
 
 
-_LOGS = ["Traceback: a\n  at b\nValueError: first\nValueError: second part\n   goes on\n\tand on\nend", "Error: x\nno", "  \n", "just one line", "ValueError: alone", "TypeError: y\nException: z\n"]
+_LOGS = ["Traceback (most recent call last):\n  File x\nKeyError: 1  \nFile y\n\n", "File a\nTraceback b", "plain\r\n    indented \t\nTraceback", "Traceback: a\n  at b\nValueError: first\nValueError: second part\n   goes on\n\tand on\nend", "Error: x\nno", "  \n", "just one line", "ValueError: alone", "TypeError: y\nException: z\n"]
 _TEXT = f"SELECT doc_id AS id, coalesce(text, '') AS text, CAST(n_chars % 101 AS INT) AS percent, CAST(n_chars AS DOUBLE) / 7 AS seconds, {pick('doc_id', _LOGS)} AS log FROM {{documents}}"
 
 
@@ -75,7 +75,7 @@ SELECT id, CASE WHEN length(t) <= 80 THEN t ELSE left(t, 77) || '...' END AS sho
   list_filter(string_split(log, chr(10)), lambda x: regexp_matches(x, '错误|Error|Exception'))[1] AS error_line,
   CASE WHEN len(v) > 0 THEN array_to_string(list_filter(list_transform(string_split(v[-1], chr(10)), lambda x: trim(x, chr(32) || chr(9))), lambda x: x <> ''), ' ') END AS value_error,
   coalesce(CASE WHEN len(v) > 0 THEN array_to_string(list_filter(list_transform(string_split(v[-1], chr(10)), lambda x: trim(x, chr(32) || chr(9))), lambda x: x <> ''), ' ') END,
-    list_filter(list_transform(string_split(log, chr(10)), lambda x: trim(x)), lambda x: x <> '')[-1], 'RuntimeError') AS summary FROM c""")
+    list_filter(list_transform(string_split(replace(log, chr(13), ''), chr(10)), lambda x: rtrim(x, chr(32) || chr(9))), lambda x: x <> '' AND NOT starts_with(x, 'Traceback') AND NOT starts_with(x, 'File '))[-1], 'RuntimeError') AS summary FROM c""")
 def text_rules(df: DataFrame) -> DataFrame:
     log = F.col("log")
     return df.select("id", n.short_error(F.col("text")).alias("short"), n.progress_bar(F.col("percent")).alias("bar"), n.duration_text(F.col("seconds")).alias("took"), n.first_error_line(log).alias("error_line"), n.value_error(log).alias("value_error"), n.error_summary(log, F.lit("RuntimeError")).alias("summary"))
@@ -91,11 +91,12 @@ _PAIRS = f"SELECT event_id AS id, {pick('event_id', ['apiKey', 'model', 'TOKEN',
 SELECT id, CASE WHEN regexp_matches(k, '(?i)key|token|secret|password|auth') THEN CASE WHEN length(v) > 4 THEN '********' || right(v, 4) ELSE repeat('*', length(v)) END ELSE v END AS hidden,
   list_transform(x, lambda e, j: CASE WHEN j > 1 AND regexp_matches(x[j-1], '(?i)key|token|secret|password') THEN '***' ELSE e END) AS safe_args,
   list_filter(list_transform(x, lambda e, j: CASE WHEN e = '--qps' AND j < len(x) THEN x[j+1] WHEN starts_with(e, '--qps=') THEN substr(e, 7) END), lambda e: e IS NOT NULL)[1] AS qps,
+  list_transform(list_filter(range(1, len(x) + 1), lambda j: NOT coalesce(CASE WHEN x[1] = '--qps' THEN j < 3 OR x[3] = '--qps' AND j IN (3, 4) ELSE x[j] = '--qps' OR starts_with(x[j], '--qps=') OR j > 1 AND x[j-1] = '--qps' END, false)), lambda j: x[j]) AS rest,
   CASE WHEN length(p) > 50 THEN left(p, 47) || '...' ELSE p END AS shown FROM s""")
 def masking(df: DataFrame) -> DataFrame:
     args = F.split("args", r"\|")
     m = F.create_map(F.lit("model"), F.col("event_type"), F.lit("a"), F.coalesce("v", F.lit("")), F.lit(" "), F.lit("x"), F.lit("value"), F.concat(F.floor("value").cast("int").cast("string"), F.lit("0123456789")), F.lit("zzzz"), F.lit("tail of it"))
-    return df.select("id", n.masked(F.col("k"), F.col("v")).alias("hidden"), n.masked_arguments(args).alias("safe_args"), n.option_value(args, "--qps").alias("qps"), n.shown_map(m).alias("shown"))
+    return df.select("id", n.masked(F.col("k"), F.col("v")).alias("hidden"), n.masked_arguments(args).alias("safe_args"), n.option_value(args, "--qps").alias("qps"), n.without_option(args, "--qps").alias("rest"), n.shown_map(m).alias("shown"))
 
 
 _UPLOADS = ["a.pdf", " b.PDF ", "", None, "..", "x/y.pdf", "x\\y.pdf", "doc.txt", "C:\\dir\\ z.pdf", "dir/", "q.pdf.pdf", "/srv/out/../x.pdf", "/srv/out/r.pdf", "/srv/outer/r.pdf", ".pdf"]
@@ -144,11 +145,11 @@ def jobs(df: DataFrame) -> DataFrame:
     return df.select("id", n.expected_outputs(c["name"], c["lang"], c["engine"], c["a"], c["b"], c["c"]).alias("outputs"), n.arguments(fixed, options).alias("args"), n.attachment_title(c["short"], c["service"], F.lit("mono"), c["name"]).alias("title"), n.model_label(c["model"], c["service"]).alias("label"), n.chosen_outputs({"mono": c["a"], "dual": c["b"], "compare": c["c"]}).alias("output_types"))
 
 
-_SERVICES = f"SELECT s_suppkey AS id, {pick('s_suppkey', ['deepseek', 'openai', 'gemini', 'ollama', 'other', 'custom'])} AS service, {pick('CAST(floor(s_suppkey / 6) AS BIGINT)', ['https://x.io/v1/', '', None, 'https://y/models'])} AS base, {pick('CAST(floor(s_suppkey / 2) AS BIGINT)', ['k 1', '', 'abc'])} AS api_key, {pick('s_suppkey', ['GitHub', 'Bilibili fan', 'Sponsor'])} AS msg, s_name FROM {{supplier}}"
+_SERVICES = f"SELECT s_suppkey AS id, {pick('s_suppkey', ['deepseek', 'openai', 'gemini', 'ollama', 'other', 'custom', 'silicon', 'zhipu', 'openailiked', 'xinference', 'tencent'])} AS service, {pick('CAST(floor(s_suppkey / 6) AS BIGINT)', ['https://x.io/v1/', '', None, 'https://y/models'])} AS base, {pick('CAST(floor(s_suppkey / 2) AS BIGINT)', ['k 1', '', 'abc'])} AS api_key, {pick('s_suppkey', ['GitHub', 'Bilibili fan', 'Sponsor'])} AS msg, s_name FROM {{supplier}}"
 
 
 @query("a1_32_37_38_services", _SERVICES, f"""
-+ u AS (SELECT *, nullif(regexp_replace(trim(base), '/+$', ''), '') AS u, coalesce(api_key, '') <> '' AS k FROM src),
++ u AS (SELECT *, nullif(regexp_replace(trim(coalesce(nullif(base, ''), CASE service WHEN 'silicon' THEN 'https://api.siliconflow.cn/v1' WHEN 'zhipu' THEN 'https://api.zhipu.com/v1' WHEN 'openailiked' THEN 'https://ark.cn-beijing.volces.com/api/v3' WHEN 'xinference' THEN 'http://127.0.0.1:9997' WHEN 'tencent' THEN 'https://tencent.com' END)), '/+$', ''), '') AS u, coalesce(api_key, '') <> '' AS k FROM src),
  t AS (SELECT *, CASE WHEN service IN ('deepseek','openai','gemini') AND NOT k THEN NULL WHEN service = 'deepseek' THEN 'https://api.deepseek.com/models' WHEN service = 'openai' THEN coalesce(u, 'https://api.openai.com/v1') || '/models'
   WHEN service = 'gemini' THEN coalesce(u, 'https://generativelanguage.googleapis.com/v1beta') || '/models?key=' || url_encode(api_key) WHEN service = 'ollama' THEN coalesce(u, 'http://localhost:11434') || '/api/tags' WHEN ends_with(u, '/models') THEN u ELSE u || '/models' END AS url FROM u)
 SELECT id, url, CASE WHEN url IS NOT NULL THEN CASE WHEN service IN ('gemini','ollama') OR NOT k THEN 'none' ELSE 'bearer' END END AS auth,

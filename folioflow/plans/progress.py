@@ -74,14 +74,16 @@ def history(df: DataFrame) -> DataFrame:
 
 
 @query("a4_11_listed_jobs", _LINES, _FOLD + """
-SELECT l.job FROM l LEFT JOIN (SELECT job, max(ts) AS ended FROM c GROUP BY job) d ON l.job = d.job WHERE ended IS NULL OR ended > (SELECT max(ts) FROM src) - INTERVAL 30 SECOND""")
+SELECT l.job FROM l LEFT JOIN (SELECT job, max(ts) AS ended FROM c GROUP BY job) d ON l.job = d.job WHERE ended IS NULL OR ended > (SELECT max(ts) FROM c) - INTERVAL 30 SECOND""")
 def listed_jobs(df: DataFrame) -> DataFrame:
-    return p.still_listed(_jobs(df).crossJoin(F.broadcast(df.agg(F.max("ts").alias("_now")))), F.col("_now")).select("job")
+    jobs = _jobs(df)
+    last = jobs.agg(F.max("ended").alias("_now"))  # one row
+    return p.still_listed(jobs.crossJoin(F.broadcast(last)), F.col("_now")).select("job")
 
 
-_POLLS = f"SELECT user_id AS job, event_id AS seq, event_id % 240 AS ts, event_id % 7 <> 0 AS right_id, event_id % 3 = 0 AS finished, {pick('CAST(floor(event_id / 200) AS BIGINT)', ['done', '', 'failed', 'success', 'running'])} AS status, {pick('event_id', [None, None, 'success', None, 'error'])} AS nested, CAST(event_id % 4 AS INT) AS files FROM {{events}}"
-_VERDICT = """w AS (SELECT *, coalesce(nullif(status, ''), nested, '') AS w FROM src), v AS (SELECT *, CASE WHEN NOT right_id THEN 'pending' WHEN w = 'failed' OR coalesce(nested = 'error', false) OR finished AND w NOT IN ('done','success') THEN 'error'
-  WHEN (finished OR w IN ('done','success') OR coalesce(nested = 'success', false)) THEN CASE WHEN files > 0 THEN 'success' ELSE 'no-files' END ELSE 'pending' END AS verdict FROM w)"""
+_POLLS = f"SELECT user_id AS job, event_id AS seq, event_id % 240 AS ts, event_id % 7 <> 0 AS right_id, event_id % 3 = 0 AS finished, {pick('CAST(floor(event_id / 200) AS BIGINT)', ['done', '', 'failed', 'success', 'running', '完成', '失败'])} AS status, {pick('event_id', [None, None, 'success', None, 'error'])} AS nested, CAST(event_id % 4 AS INT) AS files FROM {{events}}"
+_VERDICT = """w AS (SELECT *, coalesce(nullif(status, ''), nested, '') AS w FROM src), v AS (SELECT *, CASE WHEN NOT right_id THEN 'pending' WHEN w IN ('failed','失败') OR coalesce(nested = 'error', false) OR finished AND w NOT IN ('done','success','完成') THEN 'error'
+  WHEN (finished OR w IN ('done','success','完成') OR coalesce(nested = 'success', false)) THEN CASE WHEN files > 0 THEN 'success' ELSE 'no-files' END ELSE 'pending' END AS verdict FROM w)"""
 
 
 def _verdicts(df: DataFrame) -> DataFrame:
@@ -120,36 +122,43 @@ def batches(df: DataFrame) -> DataFrame:
     return rows.select("batch", "seq", p.phase_percent(F.col("phase"), F.col("percent"), F.col("file"), F.col("total")).alias("percent_done"), "overall", p.batch_verdict(failed, F.col("total")).alias("verdict"))
 
 
-_MILES = "SELECT user_id AS job, event_id AS seq, CAST(floor(value / 5) AS INT) AS progress, CASE event_id % 4 WHEN 0 THEN 'page ' || CAST(event_id % 9 AS STRING) || ' of ' || CAST(9 AS STRING) WHEN 1 THEN 'at ' || CAST(event_id % 101 AS STRING) || '.5% now' ELSE 'silent' END AS line FROM {events}"
+_MILES = "SELECT user_id AS job, event_id AS seq, value / 2 - 20 AS progress FROM {events}"
 
 
-@query("a4_20_21_milestones", _MILES, r"""
-+ b AS (SELECT *, lag(progress, 1, 0) OVER (PARTITION BY job ORDER BY seq) AS b FROM src)
-SELECT seq, CASE WHEN b < 25 AND progress >= 25 THEN 25 WHEN b < 50 AND progress >= 50 THEN 50 WHEN b < 75 AND progress >= 75 THEN 75 WHEN b < 90 AND progress >= 90 THEN 90 END AS milestone,
-  CASE seq % 4 WHEN 0 THEN CAST(trunc((seq % 9)::DOUBLE / 9 * 100) AS INT) WHEN 1 THEN CAST(seq % 101 AS INT) END AS said FROM b""")
+@query("a4_20_milestones", _MILES, """
++ a AS (SELECT *, least(progress, 95) AS p FROM src), b AS (SELECT *, min(CASE WHEN p >= 25 THEN seq END) OVER (PARTITION BY job) AS t1 FROM a), c AS (SELECT *, min(CASE WHEN p >= 50 AND seq > t1 THEN seq END) OVER (PARTITION BY job) AS t2 FROM b),
+ d AS (SELECT *, min(CASE WHEN p >= 75 AND seq > t2 THEN seq END) OVER (PARTITION BY job) AS t3 FROM c), e AS (SELECT *, min(CASE WHEN p >= 90 AND seq > t3 THEN seq END) OVER (PARTITION BY job) AS t4 FROM d)
+SELECT job, seq, CASE seq WHEN t1 THEN 25 WHEN t2 THEN 50 WHEN t3 THEN 75 ELSE 90 END AS milestone FROM e WHERE seq IN (t1, t2, t3, t4)""")
 def milestones(df: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
+    return p.milestones(df)
 
-    before = F.lag("progress", 1, 0).over(Window.partitionBy("job").orderBy("seq"))
-    return df.select("seq", p.milestone(F.col("progress"), before).alias("milestone"), p.helper_progress(F.col("line")).alias("said"))
 
+_HELPER = f"SELECT user_id AS job, event_id AS seq, event_id % 3 * 5 AS pages, CASE WHEN event_id % 9 = 0 THEN 'Page ' || CAST(event_id % 7 AS STRING) || ' of 9' WHEN event_id % 9 = 1 THEN 'at ' || CAST(event_id % 101 AS STRING) || '.5 % now' WHEN event_id % 9 = 2 THEN 'page: ' || CAST(event_id % 60 AS STRING) WHEN event_id % 9 < 6 THEN 'Translating on' WHEN event_id % 9 = 6 THEN 'now 处理 it' ELSE 'silent' END AS line FROM {{events}}"
 
-_CREEP = "SELECT user_id AS job, event_id AS seq, CASE WHEN event_id % 5 = 0 THEN CAST(floor(value / 6) AS INT) END AS said FROM {events}"
 
+@query("a4_21_helper_progress", _HELPER, """
++ x AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)page') THEN CASE WHEN pages > 0 THEN CAST(regexp_extract(line, '(?i)page:? ([0-9]+)', 1) AS DOUBLE) / pages * 100 ELSE least(CAST(regexp_extract(line, '(?i)page:? ([0-9]+)', 1) AS DOUBLE) * 2, 90) END
+  WHEN contains(line, '%') THEN CAST(regexp_extract(line, '([0-9.]+) %', 1) AS DOUBLE) END AS said, (line = 'Translating on' OR contains(line, '处理'))::INT AS creeps FROM src),
+ r AS (SELECT *, count(said) OVER (PARTITION BY job ORDER BY seq) AS run FROM x),
+ n AS (SELECT *, coalesce(first_value(said) OVER w, 0) AS base, sum(CASE WHEN said IS NULL THEN creeps ELSE 0 END) OVER w AS crept FROM r WINDOW w AS (PARTITION BY job, run ORDER BY seq))
+SELECT job, seq, said, base + least(crept, greatest(ceil((80 - base) / 0.5::DOUBLE), 0)) * 0.5::DOUBLE AS progress FROM n""")
+def helper(df: DataFrame) -> DataFrame:
+    said, creeps = p.helper_progress(F.col("line"), F.col("pages"))
+    return p.creeping(df.select("job", "seq", said.alias("said"), creeps.alias("creeps"))).select("job", "seq", "said", "progress")
 
-@query("a4_21_creep", _CREEP, """
-SELECT job, list_reduce(list_prepend(0.0::DOUBLE, list(coalesce(said::DOUBLE, -1.0) ORDER BY seq)), lambda p, x: CASE WHEN x >= 0 THEN greatest(p, x) WHEN p < 80 THEN p + 0.5::DOUBLE ELSE p END) AS progress FROM src GROUP BY job""")
-def creep(df: DataFrame) -> DataFrame:
-    return p.creeping(df)
 
-
-_CONSOLE = "SELECT user_id AS job, CAST(floor(event_id / 600) AS BIGINT) AS tick, event_id % 50 AS cursor, event_id % 37 AS row, event_id % 23 AS curr, CASE WHEN event_id % 6 = 0 THEN 9 WHEN event_id % 11 = 0 THEN 0 ELSE 20 END AS total FROM {events}"
+_CONSOLE = "SELECT job, tick, tick * 7 % 50 AS cursor, row, max(curr) AS curr, max(total) AS total FROM (SELECT user_id % 40 AS job, CAST(floor(event_id / 600) AS BIGINT) AS tick, event_id % 37 AS row, event_id % 23 AS curr, CASE WHEN event_id % 6 = 0 THEN 9 WHEN event_id % 11 = 0 THEN 0 ELSE 20 END AS total FROM {events}) AS e GROUP BY job, tick, row"
 
 
 @query("a4_07_console", _CONSOLE, """
-+ s AS (SELECT * FROM src WHERE total > 0), f AS (SELECT job, arg_min(total, tick * 1000 - total) AS locked FROM s GROUP BY job), k AS (SELECT s.* FROM s JOIN f ON s.job = f.job AND s.total = f.locked),
- b AS (SELECT job, tick, curr, total, row_number() OVER (PARTITION BY job, tick ORDER BY abs(row - cursor), -row, -curr) AS n FROM k),
- m AS (SELECT *, max(curr) OVER (PARTITION BY job ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM b WHERE n = 1)
-SELECT job, tick, curr, CASE WHEN curr >= total THEN 99 ELSE CAST(trunc(curr::DOUBLE / total * 100) AS INT) END AS percent FROM m WHERE most IS NULL OR curr > most""")
++ s AS (SELECT * FROM src WHERE total > 0), f AS (SELECT job, arg_min(total, tick * 1000 - total) AS locked FROM s GROUP BY job),
+ k AS (SELECT job, tick, dense_rank() OVER (PARTITION BY job ORDER BY tick) AS n, cursor, row, curr, total FROM s JOIN f USING (job) WHERE total = locked),
+ w AS (WITH RECURSIVE st AS (
+   SELECT job, n, tick, row AS place, curr AS most, curr, true AS told, total FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY abs(row - cursor), -row, -curr) AS o FROM k WHERE n = 1) AS x WHERE o = 1
+   UNION ALL
+   SELECT job, n, tick, CASE WHEN curr >= most THEN row ELSE place END, greatest(curr, most), curr, curr > most, total FROM (
+     SELECT k.job, k.n, k.tick, k.row, k.curr, k.total, st.place, st.most, row_number() OVER (PARTITION BY k.job ORDER BY abs(k.row - st.place), abs(k.row - k.cursor), -k.row) AS o FROM st JOIN k ON k.job = st.job AND k.n = st.n + 1) AS y WHERE o = 1)
+  SELECT * FROM st)
+SELECT job, tick, curr, CASE WHEN curr >= total THEN 99 ELSE CAST(trunc(curr::DOUBLE / total * 100) AS INT) END AS percent FROM w WHERE told""")
 def console(df: DataFrame) -> DataFrame:
     return p.console_progress(df)

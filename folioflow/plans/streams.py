@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +17,28 @@ from .base import ORACLE_SQL, QUERIES
 _SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the cluster shares; in local mode, if none is named, one of this machine."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
+    return root.rstrip("/")
+
+
 def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest snapshot per job after a stream has read all events, file by file."""
     importable(spark)
     events = spark.readStream.schema(_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     events.createOrReplaceTempView(view := f"events_{uuid.uuid4().hex}")
     lines = spark.sql(progress._LINES.replace("{events}", view))
-    name = f"jobs_{uuid.uuid4().hex}"
-    query = snapshots(progress.updates(lines), evict=False).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
+    path = f"{shared_root(spark)}/jobs-{uuid.uuid4().hex}"
+    snapped = snapshots(progress.updates(lines), evict=False).writeStream.outputMode("update").trigger(availableNow=True)
+    query = snapped.option("checkpointLocation", f"{path}/state").foreachBatch(lambda rows, k: rows.write.mode("overwrite").parquet(f"{path}/told/batch={k}")).start()
     query.awaitTermination(600)
     spark.catalog.dropTempView(view)
-    told = spark.table(name)
+    told = spark.read.parquet(f"{path}/told")
     return told.groupBy("job").agg(F.max_by(F.struct("progress", "message", "status", "seq"), "seq").alias("s")).select(F.col("job").cast("long").alias("job"), "s.*")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import coerce as c
 
 #: Fields of a request, all text as clients send them.
-REQUEST = "taskId string, task_id string, fileName string, fileContent string, service string, engine string, sourceLang string, targetLang string, threadNum string, qps string, poolSize string, skipLastPages string, mono string, dual string, protocol string"
+REQUEST = "taskId string, task_id string, fileName string, fileContent string, service string, next_service string, engine string, sourceLang string, targetLang string, threadNum string, qps string, poolSize string, skipLastPages string, mono string, dual string, protocol string"
 
 
 def output_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,7 +31,7 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 def typed_requests(raw: DataFrame) -> DataFrame:
     return raw.select(
         c.task_id(F.col("taskId"), F.col("task_id")).alias("task"), F.col("fileName").alias("file_name"), c.decoded_upload(F.col("fileContent")).alias("content"),
-        c.text_or(F.col("service"), 3, "bing").alias("service"), c.engine_or(F.col("engine"), ("engine-1", "engine-2")).alias("engine"),
+        c.engine_service(F.col("engine"), F.col("service"), F.col("next_service")).alias("service"), c.engine_or(F.col("engine"), ("engine-1", "engine-2")).alias("engine"),
         c.text_or(F.col("sourceLang"), 2, "en").alias("source_lang"), c.text_or(F.col("targetLang"), 2, "zh-CN").alias("target_lang"),
         c.at_least_one(F.col("threadNum"), 8).alias("threads"), c.at_least_one(F.col("qps"), 4).alias("qps"), c.pool_size(F.col("poolSize")).alias("pool_size"),
         c.skip_pages(F.col("skipLastPages")).alias("skip_last_pages"), c.request_bool(F.col("mono")).alias("mono"), c.request_bool(F.col("dual")).alias("dual"),
