@@ -91,10 +91,10 @@ def first_success(df: DataFrame) -> DataFrame:
     return o.first_success(df, "job")
 
 
-_TREE = "SELECT {p} || CAST({k} % 700 AS STRING) || '.py' AS path, min(CAST({h} % 3 AS STRING)) AS hash FROM {{{t}}} WHERE {w} GROUP BY ALL"
+_TREE = "SELECT {p} || CAST({k} AS STRING) || '.py' AS path, min(CAST({h} % 3 AS STRING)) AS hash FROM {{{t}}} GROUP BY ALL"
 _DIR = "CASE WHEN {k} % 20 = 0 THEN 'cache/x' WHEN {k} % 2 = 0 THEN 'a/b' ELSE 'c' END"
-_SRC = _TREE.format(p=_DIR.format(k="o_orderkey"), k="o_orderkey", h="o_custkey", t="orders", w="o_orderkey % 700 < 500")
-_TGT = _TREE.format(p=_DIR.format(k="o_orderkey"), k="o_orderkey", h="(o_custkey + o_orderkey)", t="orders", w="o_orderkey % 700 > 200")
+_SRC = _TREE.format(p=_DIR.format(k="o_orderkey"), k="o_orderkey", h="o_custkey", t="orders")
+_TGT = _TREE.format(p=_DIR.format(k="event_id"), k="event_id", h="user_id", t="events")
 
 
 @query("a3_13_directory_diff", _SRC, """
@@ -120,8 +120,8 @@ def open_groups(df: DataFrame) -> DataFrame:
     return o.open_groups(df)
 
 
-_ACTIVE = "SELECT o_custkey AS task, o_orderkey AS ordinal, o_orderstatus AS status FROM {orders} WHERE o_orderkey % 3 = 0"
-_HISTORY = "SELECT o_custkey AS task, o_orderkey AS ordinal, o_orderstatus AS status FROM {orders} WHERE o_orderkey % 3 > 0"
+_ACTIVE = "SELECT o_custkey AS task, o_orderkey AS ordinal, o_orderstatus AS status FROM {orders}"
+_HISTORY = "SELECT user_id AS task, event_id AS ordinal, event_type AS status FROM {events}"
 
 
 @query("a3_16_record_lookup", _ACTIVE, """

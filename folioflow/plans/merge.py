@@ -9,8 +9,8 @@ from folioflow.operators import keyed, merge
 
 from .base import pick, query
 
-_DEF = "SELECT CAST(c_custkey % 60 AS STRING) AS section, 'k' || CAST(c_nationkey AS STRING) AS item, min(CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END) AS value FROM {customer} WHERE c_custkey % 3 > 0 GROUP BY ALL"
-_USER = "SELECT CAST(c_custkey % 60 AS STRING) AS section, 'k' || CAST(c_nationkey AS STRING) AS item, min(CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END) AS value FROM {customer} WHERE c_custkey % 3 < 2 GROUP BY ALL"
+_DEF = "SELECT CAST(c_custkey AS STRING) AS section, 'k' || CAST(c_custkey % 2 AS STRING) AS item, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS value FROM {customer}"
+_USER = "SELECT CAST(o_custkey AS STRING) AS section, 'k' || CAST(o_orderkey % 4 AS STRING) AS item, min(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END) AS value FROM {orders} GROUP BY ALL"
 
 
 @query("a6_01_merge_defaults", _DEF, "SELECT coalesce(u.section, d.section) AS section, coalesce(u.item, d.item) AS item, CASE WHEN u.section IS NOT NULL THEN u.value ELSE d.value END AS value FROM src d FULL JOIN own u ON d.section = u.section AND d.item = u.item", own=_USER)
@@ -18,9 +18,10 @@ def merge_defaults(df: DataFrame, own: DataFrame) -> DataFrame:
     return merge.merged_defaults(df, own, ["section", "item"])
 
 
-_LIST = "SELECT {g} AS grp, '{p}' || CAST({k} % 23 AS STRING) AS name, min({k}) AS ordinal, max({k}) AS value FROM {{{t}}} WHERE {w} GROUP BY ALL"
-_DLIST = _LIST.format(g="s_nationkey % 4", p="x", k="s_suppkey", t="supplier", w="s_suppkey % 3 > 0")
-_ULIST = _LIST.format(g="s_nationkey % 4", p="x", k="s_suppkey", t="supplier", w="s_suppkey % 2 > 0")
+# Some suppliers' numbers are beyond all parts' numbers, and most parts are no supplier's.
+_LIST = "SELECT {k} % 25 AS grp, 'x' || CAST({k} AS STRING) AS name, {k} AS ordinal, {v} AS value FROM {{{t}}}"
+_DLIST = _LIST.format(k="s_suppkey * 30", v="s_nationkey", t="supplier")
+_ULIST = _LIST.format(k="p_partkey", v="CAST(p_size AS BIGINT)", t="part")
 
 
 @query("a6_02_merge_named_list", _DLIST, """
@@ -29,8 +30,8 @@ def merge_named_list(df: DataFrame, own: DataFrame) -> DataFrame:
     return merge.merged_list(df, own, "grp")
 
 
-_DREQ = f"SELECT DISTINCT p_brand AS grp, {pick('p_size', ['Num_Py', 'torch', 'a.b'])} || '==' || CAST(p_size % 2 AS STRING) AS requirement FROM {{part}} WHERE p_size < 20"
-_UREQ = f"SELECT DISTINCT p_brand AS grp, {pick('p_size', ['num-py', 'own', 'A_B', 'extra'])} || '>=' || CAST(p_size % 3 AS STRING) AS requirement FROM {{part}} WHERE p_size > 15"
+_DREQ = f"SELECT DISTINCT p_brand AS grp, {pick('p_size', ['Num_Py', 'torch', 'a.b'])} || '==' || CAST(p_size % 2 AS STRING) AS requirement FROM {{part}}"
+_UREQ = f"SELECT DISTINCT p_brand AS grp, {pick('p_size', ['num-py', 'own', 'A_B', 'extra'])} || '>=' || CAST(p_size % 3 AS STRING) AS requirement FROM {{part}}"
 
 
 @query("a6_03_managed_requirements", _DREQ, """
@@ -45,14 +46,14 @@ def changed(df: DataFrame, own: DataFrame) -> DataFrame:
     return merge.changed(df, own, "section")
 
 
-_STORED = f"SELECT s_suppkey AS svc, {pick('n', ['API_KEY', 'API_URL', 'MODEL', 'listed_1', 'extra_x', 'support_llm'])} AS key, 'old' || CAST(n AS STRING) AS value, n = 3 AS listed FROM (SELECT s_suppkey, r_regionkey AS n FROM {{supplier}} CROSS JOIN {{region}} UNION ALL SELECT s_suppkey, 5 FROM {{supplier}}) AS x WHERE (s_suppkey + n) % 4 > 0"
-_SENT = f"SELECT s_suppkey AS svc, {pick('n', ['API_KEY', 'API_URL', 'MODEL', 'extra_x', 'extra_y'])} AS key, CASE (s_suppkey + n) % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'new' || CAST(n AS STRING) END AS value, n < 3 AS base FROM (SELECT s_suppkey, r_regionkey AS n FROM {{supplier}} CROSS JOIN {{region}}) AS x WHERE (s_suppkey * 3 + n) % 5 > 0"
+_STORED = f"SELECT s_suppkey * 20 AS svc, {pick('n', ['API_KEY', 'API_URL', 'MODEL', 'listed_1', 'extra_x', 'support_llm'])} AS key, 'old' || CAST(n AS STRING) AS value, n = 3 AS listed FROM (SELECT s_suppkey, r_regionkey AS n FROM {{supplier}} CROSS JOIN {{region}} UNION ALL SELECT s_suppkey, 5 FROM {{supplier}}) AS x"
+_SENT = f"SELECT c_custkey AS svc, {pick('n', ['API_KEY', 'API_URL', 'MODEL', 'extra_x', 'extra_y'])} AS key, CASE (c_custkey + n) % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'new' || CAST(n AS STRING) END AS value, n < 3 AS base FROM (SELECT c_custkey, r_regionkey AS n FROM {{customer}} CROSS JOIN {{region}}) AS x"
 _UPDATE = """
 + f AS (SELECT svc, key, value FROM sent WHERE coalesce(value, '') <> ''), o AS (SELECT svc, key, value FROM src s WHERE listed OR {keep} EXISTS (SELECT 1 FROM f WHERE f.svc = s.svc AND f.key = s.key))
 SELECT coalesce(f.svc, o.svc) AS svc, coalesce(f.key, o.key) AS key, coalesce(f.value, o.value) AS value FROM o FULL JOIN f ON o.svc = f.svc AND o.key = f.key"""
 
 
-_SENT_2 = f"SELECT s_suppkey AS svc, {pick('n', ['API_KEY', 'API_URL', 'num_predict', 'extra_send_temprature', 'x_enable_json_mode'])} AS key, {pick('s_suppkey * 5 + n', ['', None, ' OFF ', 'Yes', '007', 'often', '0', '-12 ', 'true', ' 1', 'no'])} AS value, n < 2 AS base FROM (SELECT s_suppkey, r_regionkey AS n FROM {{supplier}} CROSS JOIN {{region}}) AS x"
+_SENT_2 = f"SELECT c_custkey AS svc, {pick('n', ['API_KEY', 'API_URL', 'num_predict', 'extra_send_temprature', 'x_enable_json_mode'])} AS key, {pick('c_custkey * 5 + n', ['', None, ' OFF ', 'Yes', '007', 'often', '0', '-12 ', 'true', ' 1', 'no'])} AS value, n < 2 AS base FROM (SELECT c_custkey, r_regionkey AS n FROM {{customer}} CROSS JOIN {{region}}) AS x"
 _TYPED = """typed AS (SELECT svc, key, CASE WHEN base THEN value
   WHEN regexp_matches(key, '(_send_temprature|_enable_json_mode)$') AND lower(trim(value)) IN ('true','1','yes','on') THEN 'true' WHEN regexp_matches(key, '(_send_temprature|_enable_json_mode)$') AND lower(trim(value)) IN ('false','0','no','off') THEN 'false'
   WHEN key = 'num_predict' AND regexp_matches(trim(value), '^[+-]?[0-9]+$') THEN CAST(CAST(trim(value) AS INT) AS STRING) ELSE value END AS value FROM sent)"""
