@@ -34,9 +34,11 @@ from .common import fold, small_side, staged
 UNDETERMINED = "und"
 #: Ranks kept of a language and of a document; documents per language to learn from.
 PROFILE, TOP, FIT_ROWS = 1000, 400, 1000
-#: Number signs that count as word characters elsewhere (fractions, raised and circled digits, numerals).
+_OTHER = re.compile(r"[\W\d_]+")
+#: Number signs that the pattern lets through (fractions, raised and circled digits, numerals), and whether a code point is one.
 _SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_OTHER = re.compile(rf"[\W\d_{_SIGNS}]+")
+_OTHER_OR_SIGN, _IS_SIGN = re.compile(rf"[\W\d_{_SIGNS}]+"), np.zeros(0x110000, bool)
+_IS_SIGN[[ord(c) for c in _SIGNS]] = True
 _BITS = np.uint64(21)
 
 
@@ -45,7 +47,13 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = _OTHER.sub(" ", (text or "").lower()).strip()
     if not words:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    c = np.frombuffer(f" {words} ".encode("utf-32-le"), "<u4").astype(np.uint64)
+    c = np.frombuffer(f" {words} ".encode("utf-32-le"), "<u4")
+    if not words.isascii() and _IS_SIGN[c].any():
+        words = _OTHER_OR_SIGN.sub(" ", words).strip()
+        if not words:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        c = np.frombuffer(f" {words} ".encode("utf-32-le"), "<u4")
+    c = c.astype(np.uint64)
     letter = c != 32
     two = c[:-1] << _BITS | c[1:]
     three = two[:-1] << _BITS | c[2:]
