@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -170,3 +171,43 @@ def test_token_files_are_read_by_a_new_session(spark, sf_dir, tmp_path):
     rans.write_token_files(docs, _vocabulary("word_bpe_49k.json"), f"file://{tmp_path}/t", block_tokens=3000)
     got = rans.read_token_files(spark.newSession(), f"file://{tmp_path}/t").collect()
     assert len(got) == 30 and all(zlib.crc32(np.array(g.ids, "<u4").tobytes()) == g.ids_crc32 for g in got)
+
+
+def test_near_copies_of_a_whole_table_against_exact_search(spark):
+    """All pairs at a similarity of 0.8, found by the rarest shingles of each set, give the same components."""
+    from folioflow.llm import simhash
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("needs the larger table")
+    docs = spark.read.parquet(path)
+    ids, texts = zip(*((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()))
+    sets = [simhash.distinct(simhash.shingle_hashes(t, 5)) for t in texts]
+    root, least = list(range(len(ids))), 0.8
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def join(i, j):
+        a, b = sorted((find(i), find(j)), key=lambda k: ids[k])
+        root[b] = a
+
+    first: dict[bytes, int] = {}
+    for i, s in enumerate(sets):
+        join(i, first.setdefault(s.tobytes(), i))
+    values = np.sort(np.concatenate([sets[i] for i in first.values()]))
+    seen: dict[int, list[int]] = {}
+    for i in sorted(first.values(), key=lambda i: len(sets[i])):
+        s, n = sets[i], len(sets[i])
+        often = np.searchsorted(values, s, side="right") - np.searchsorted(values, s)
+        rare = s[np.lexsort((s, often))][: n - math.ceil(least * n) + 1 if n else 0].tolist()
+        for j in {j for h in rare for j in seen.get(h, ())}:
+            both = len(np.intersect1d(s, sets[j], assume_unique=True))
+            if both >= least * (n + len(sets[j]) - both):
+                join(i, j)
+        for h in rare:
+            seen.setdefault(h, []).append(i)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == {k: ids[find(i)] for i, k in enumerate(ids)}
