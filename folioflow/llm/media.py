@@ -129,22 +129,25 @@ def features(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mel, segments(mel)
 
 
-def tensor_windows(mel: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
-    """Fixed-shape tensors of TENSOR_FRAMES x MELS with start_s, end_s and active (share of frames).
-
-    The last one is padded with the document's lowest value.
-    """
-    step, length = HOP * DOWN / UP / RATE, FRAME * DOWN / UP / RATE
+def tensor_of(mel: np.ndarray) -> pa.FixedShapeTensorArray:
+    """Tensors of TENSOR_FRAMES x MELS; the last one is padded with the lowest value."""
     n = -(-len(mel) // TENSOR_FRAMES)
     full = np.full((n * TENSOR_FRAMES, MELS), mel.min(), np.float32)
     full[: len(mel)] = mel
+    return pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, TENSOR_FRAMES, MELS))
+
+
+def tensor_windows(mel: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+    """A document's tensors with start_s, end_s and active (share of frames)."""
+    step, length = HOP * DOWN / UP / RATE, FRAME * DOWN / UP / RATE
+    tensor = tensor_of(mel)
+    n = len(tensor)
     inside = np.zeros(len(mel) + 1, np.int64)
     inside[found[:, 0]] += 1
     inside[found[:, 1]] -= 1
     active = np.concatenate(([0], np.cumsum(np.cumsum(inside[:-1]))))
     at = np.arange(n) * TENSOR_FRAMES
     ends = np.minimum(at + TENSOR_FRAMES, len(mel))
-    tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, TENSOR_FRAMES, MELS))
     cols = [tensor, pa.array(at * step), pa.array((ends - 1) * step + length), pa.array((active[ends] - active[at]) / (ends - at))]
     return pa.RecordBatch.from_arrays(cols, ["tensor", "start_s", "end_s", "active"])
 
@@ -204,7 +207,7 @@ def media_digests(media: DataFrame) -> DataFrame:
                 blob = blob.as_py()
                 payload = from_wav(blob)
                 mel, found = features(payload)
-                frames = tensor_windows(mel, found).column(0).to_numpy_ndarray().reshape(-1, MELS)[: len(mel)]
+                frames = tensor_of(mel).to_numpy_ndarray().reshape(-1, MELS)[: len(mel)]
                 bands = ",".join(str(int(v)) for v in np.floor(frames.mean(axis=0, dtype=np.float64) + 0.5))
                 text = f"frames={len(mel)};segments={len(found)};active={int((found[:, 1] - found[:, 0]).sum())};mel={bands}"
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), text))
