@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import coerce, layout, lists, merge, names, progress, streams  # noqa: F401
+from . import coerce, layout, lists, merge, names, progress, stores, streams  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

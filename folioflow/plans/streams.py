@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from folioflow import importable
 from folioflow.streaming.jobs import snapshots
@@ -27,6 +28,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def finished(query: StreamingQuery, seconds: int = 600) -> None:
+    """Wait for a stream that ends by itself; one that doesn't is stopped and is an error, as its rows would be a part."""
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream did not end within {seconds} seconds")
+
+
 def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest snapshot per job after a stream has read all events, file by file."""
     importable(spark)
@@ -36,7 +44,7 @@ def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_root(spark)}/jobs-{uuid.uuid4().hex}"
     snapped = snapshots(progress.updates(lines), evict=False).writeStream.outputMode("update").trigger(availableNow=True)
     query = snapped.option("checkpointLocation", f"{path}/state").foreachBatch(lambda rows, k: rows.write.mode("overwrite").parquet(f"{path}/told/batch={k}")).start()
-    query.awaitTermination(600)
+    finished(query)
     spark.catalog.dropTempView(view)
     told = spark.read.parquet(f"{path}/told")
     return told.groupBy("job").agg(F.max_by(F.struct("progress", "message", "status", "seq"), "seq").alias("s")).select(F.col("job").cast("long").alias("job"), "s.*")

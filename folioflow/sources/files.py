@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,32 @@ from folioflow.functions import coerce as c
 REQUEST = "taskId string, task_id string, fileName string, fileContent string, service string, next_service string, engine string, sourceLang string, targetLang string, threadNum string, qps string, poolSize string, skipLastPages string, mono string, dual string, protocol string"
 
 
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Write rows (name, content) as files of ``folder``, a URI; how many were written.
+
+    The tasks write, each file under a hidden name that is then moved to its
+    own, so readers see whole files and a task run again writes the same ones.
+    Null names or names with a separator are errors; null content is an empty
+    file. Names must be distinct.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not name or "/" in name or name in (".", ".."):
+                    raise ValueError(f"not a file's name: {name!r}")
+                hidden = f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(hidden) as out:
+                    out.write(content or b"")
+                store.move(hidden, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    done = rows.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long")
+    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def output_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, name, size, mtime of a folder's files; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

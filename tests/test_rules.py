@@ -7,6 +7,7 @@ import tomllib
 import pytest
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from folioflow.functions import coerce, names
@@ -302,6 +303,18 @@ def test_files_and_requests(spark, tmp_path):
     assert (r.task, bytes(r.content), r.threads, r.pool_size, r.mono, r.dual, r.asynchronous, r.engine) == ("t", b"hello", 8, 1000, True, False, True, "engine-1")
 
 
+def test_written_files(spark, tmp_path):
+    rows = lambda *pairs: spark.createDataFrame(pairs, "name string, content string")
+    folder = (tmp_path / "out").as_uri()
+    assert files.write_files(rows(("a.pdf", "old"), ("b é", None)), folder) == 2
+    assert files.write_files(rows(("a.pdf", "%PDF %%EOF")), folder) == 1  # as a task that runs again does
+    assert files.write_files(rows(("a", "a")).limit(0), folder) == 0
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"a.pdf": "%PDF %%EOF", "b é": ""}
+    for bad in (None, "", "..", "../a"):
+        with pytest.raises(PythonException):
+            files.write_files(rows((bad, "x")), folder)
+
+
 def test_preferences(spark):
     df = spark.createDataFrame([(1, '[{"key":"a","service":"s"},{"service":"t"}]')], "id int, value string")
     assert [(r.id, r.key, r.activate, r.extraData) for r in config.preferences(df).collect()] == [(1, "a", False, {})]
