@@ -432,6 +432,18 @@ def test_empty_tables(empty, spark):
     assert [f.count() for f in frames] == [0] * len(frames)
 
 
+def test_fits_on_odd_rows(docs, spark):
+    rows, df = docs
+    odd_labels = [(None, 1, 1), (0, None, None), (1, 1, 0), (1, 0, 1), (2, 0, 0), (3, 1, None), (10**12, 1, 1), (4, 0, 1), (4, 0, 1)]
+    labels = spark.createDataFrame(odd_labels, "doc_id long, quality int, toxic int")
+    judged = quality.judge(df, quality.fit(df, labels)).select("doc_id", "kept").collect()
+    scored = toxicity.score(df, toxicity.fit(df, labels)).collect()
+    named = language.identify(df, language.fit(language.training_rows(df))).collect()
+    for got in (judged, scored, named):
+        assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    assert all(r.kept is not None for r in judged) and all(0 <= r.score <= 1 for r in [*scored, *named])
+
+
 def test_queries_are_registered(spark, sf_dir):
     names = __spark_entry__.queries()
     assert set(QUERIES) <= set(names) and "pipeline" in names

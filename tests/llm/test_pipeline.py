@@ -62,6 +62,19 @@ def test_mixing_stage_repeats_rows(spark, sf_dir, odd):
     assert got and all(k in once and n <= 2 * once[k] for k, n in got.items())
 
 
+def test_stages_on_an_empty_table(spark, sf_dir, odd):
+    docs = corpus_pipeline.staged(odd[1].limit(0))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf_dir)
+        assert got.count() == 0 and (name == corpus_pipeline.STAGES[-1][0] or got.columns == docs.columns)
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.simhash_near_dedup, corpus_pipeline.substring_dedup, corpus_pipeline.mixing_to_weights])
+def test_stages_do_not_depend_on_splits(spark, sf_dir, odd, stage):
+    one, many = (corpus_pipeline.staged(odd[1].repartition(n)) for n in (1, 7))
+    assert Counter(map(tuple, stage(spark, one, sf_dir).collect())) == Counter(map(tuple, stage(spark, many, sf_dir).collect()))
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "piece", "length", "sequence_id", "offset"} <= set(out.columns) and out.count()
