@@ -1,4 +1,4 @@
-"""A8: configuration, output files, preferences and logs written to the shared folder and read back."""
+"""A8: configuration, output files and logs written to the shared folder and read back; preferences read from a column."""
 
 from __future__ import annotations
 
