@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Notices that may hold for all versions, a broadcast of a few MB.
+#: Most notices for all versions that ``applicable`` takes unless told to take all.
 MOST_GENERAL = 20_000
 
 
@@ -36,12 +36,13 @@ def missing(expected: DataFrame, files: DataFrame) -> DataFrame:
     return expected.join(files.select("path"), "path", "left_anti")
 
 
-def applicable(notices: DataFrame, versions: DataFrame) -> DataFrame:
+def applicable(notices: DataFrame, versions: DataFrame, limited: bool = True) -> DataFrame:
     """(id, version) of enabled notices that name the version, or all, and hold it within their bounds.
 
     Notices that name versions meet them in an equi-join. Those for all
-    versions are a dimension: they are counted, at most MOST_GENERAL, and
-    broadcast to the versions.
+    versions are held against every version; Spark sends the smaller side to
+    the other, or pairs their partitions where neither is small. ``limited``
+    counts these first and raises an error above MOST_GENERAL.
     """
     bare = lambda c: F.regexp_replace(F.trim(c), "^v+", "")
     affects = F.filter(F.transform(F.coalesce("affects", F.array().cast("array<string>")), bare), lambda x: x != "")
@@ -52,9 +53,9 @@ def applicable(notices: DataFrame, versions: DataFrame) -> DataFrame:
     within = (F.col("_min").isNull() | (F.col("_key") >= F.col("_min"))) & (F.col("_max").isNull() | (F.col("_key") <= F.col("_max")))
     named = n.where(~general).withColumn("_v", F.explode(F.array_distinct("_affects"))).join(v, "_v").where(within)
     every = n.where(general)
-    if every.count() > MOST_GENERAL:
+    if limited and every.count() > MOST_GENERAL:
         raise ValueError(f"more than {MOST_GENERAL} notices for all versions: one for each version would be too many rows")
-    return named.select("id", "version").unionByName(v.join(F.broadcast(every), within).select("id", "version"))
+    return named.select("id", "version").unionByName(v.join(every, within).select("id", "version"))
 
 
 def newest_version(rows: DataFrame, group: str) -> DataFrame:

@@ -43,7 +43,7 @@ _NOTICES = f"SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN false WHEN 1
 SELECT id, version FROM v, n WHERE coalesce(enabled, true) AND (len(a) = 0 OR list_has_any(a, ['*','all']) OR list_contains(a, bare))
   AND (coalesce(min_version, '') = '' OR {vkey('bare')} >= {vkey('min_version')}) AND (coalesce(max_version, '') = '' OR {vkey('bare')} <= {vkey('max_version')})""", versions=_VERSIONS)
 def notices(df: DataFrame, versions: DataFrame) -> DataFrame:
-    return o.applicable(df.withColumn("affects", F.split("affects", r"\|")), versions)
+    return o.applicable(df.withColumn("affects", F.split("affects", r"\|")), versions, limited=False)
 
 
 _RELEASES = f"SELECT p_partkey AS ordinal, p_brand AS source, {pick('p_partkey', ['v', ''])} || CAST(p_size % 7 AS STRING) || '.' || CAST(p_partkey % 12 AS STRING) || {pick('p_partkey', ['', '.1', '-rc'])} AS version FROM {{part}}"
