@@ -32,6 +32,7 @@ ignored; empty tables give empty results.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,16 +56,32 @@ COPY_SHINGLE, SIMILARITY, TABLES, SAMPLE, FIRST_TABLES = 5, 0.8, 16, 3, 4
 TEST_ROWS, TEST_SHINGLES, TILE, COLUMNS = 1 << 12, 1 << 21, 128, 1 << 14
 #: Children of a node; rows of a search that run at once.
 FAN, FRONT = 8, 1 << 18
+#: Bytes of a text that are cut into words at once.
+PART = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """XXH64 of all shingles, repeats included; A-Z count as a-z."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    rows = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    """XXH64 of all shingles, repeats included; A-Z count as a-z.
+
+    Words are taken from about PART bytes at a time; the last ones go on to the next part.
+    """
+    data = (text or "").encode().lower()
     h = xxhash.xxh64_intdigest
-    return np.fromiter((h(x, seed) for x in rows), np.uint64, max(1, len(words) - shingle + 1))
+    parts: list[np.ndarray] = []
+    words: list[bytes] = []
+    end = 0
+    while end < len(data):
+        begin, blank = end, _BLANK.search(data, end + PART)
+        end = blank.start() if blank else len(data)
+        words += data[begin:end].split()
+        if len(words) >= shingle:
+            rows = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
+            parts.append(np.fromiter((h(x, seed) for x in rows), np.uint64, len(words) - shingle + 1))
+            words = words[len(words) - shingle + 1 :]
+    if not parts:
+        return np.array([h(b" ".join(words), seed)] if words else [], np.uint64)
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
 def distinct(hashes: np.ndarray) -> np.ndarray:
@@ -195,10 +212,6 @@ class GrayIndex:
     def _search(self, forest: Forest, query: np.ndarray, node: np.ndarray, sums: np.ndarray, level: int) -> None:
         """Go on from (query, node) pairs whose parents are within the distance."""
         mask, pattern, vary = self.levels[level]
-        if len(query) > FRONT:
-            for a in range(0, len(query), FRONT):
-                self._search(forest, query[a : a + FRONT], node[a : a + FRONT], sums[a : a + FRONT], level)
-            return
         off = (self.values[query] ^ pattern[node]) & mask[node]
         sums = sums + popcount(off)
         go = (sums <= self.distance) & ((off & self.exact) == 0) & (self._span(level, node) > query + 1)
@@ -223,10 +236,13 @@ class GrayIndex:
                         members = np.arange(ki * size, min(len(self.values), (ki + 1) * size))
                         forest.join(np.full(len(members), qi), members)
                 query, node, sums = query[~whole], node[~whole], sums[~whole]
-        child = (node[:, None] * FAN + np.arange(FAN)).ravel()
-        query, sums = np.repeat(query, FAN), np.repeat(sums, FAN)
-        inside = child < len(self.levels[level - 1][0])
-        self._search(forest, query[inside], child[inside], sums[inside], level - 1)
+        # Children are made for a part of the pairs at a time, so no level holds more than FRONT rows.
+        step = max(1, FRONT // FAN)
+        for a in range(0, len(query), step):
+            child = (node[a : a + step, None] * FAN + np.arange(FAN)).ravel()
+            inside = np.flatnonzero(child < len(self.levels[level - 1][0]))
+            own = a + inside // FAN
+            self._search(forest, query[own], child[inside], sums[own], level - 1)
 
 
 def block_widths(bits: int, blocks: int) -> list[int]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -108,6 +109,40 @@ def test_simhash(docs, group_rows, monkeypatch):
     assert Counter((g.doc_id, g.fp & (1 << 64) - 1, g.component_id) for g in got) == expected
 
 
+def peak_mb(f, *args):
+    tracemalloc.start()
+    try:
+        return f(*args), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_simhash_index_bounds_its_memory():
+    values = np.unique(np.random.default_rng(3).integers(0, 1 << 48, 1 << 14, dtype=np.uint64))
+    values = np.unique(np.concatenate((values, values[::64] ^ np.uint64(0b1011))))
+    index = simhash.GrayIndex(values, (1 << 16) - 1 << 48)
+    root, peak = peak_mb(index.link)
+    edges = [(i, j) for i in range(len(values)) for j in i + 1 + np.flatnonzero(np.bitwise_count(index.values[i + 1 :] ^ index.values[i]) <= 3)]
+    forest = simhash.Forest(len(values))
+    forest.join(*np.array(edges).T)
+    assert len(edges) >= 256 and (root == forest.flatten()).all()
+    assert peak < 100  # 207 with all children of a level made at once
+
+
+@pytest.mark.parametrize("shingle", [1, 3, 5])
+def test_shingles_of_long_texts_in_parts(shingle, monkeypatch):
+    texts = ["", " \n", "A b", "Än B  c", *(" ".join(f"W{k % 7}é" for k in range(n)) + " \t" * (n % 5) for n in range(3, 40))]
+    whole = [simhash.shingle_hashes(t, shingle) for t in texts]
+    for part in (1, 5, 16):
+        monkeypatch.setattr(simhash, "PART", part)
+        assert all(np.array_equal(simhash.shingle_hashes(t, shingle), h) for t, h in zip(texts, whole, strict=True))
+    assert [simhash.fingerprint_of(simhash.shingle_hashes(t)) for t in texts] == [simhash_brute(t) for t in texts]
+    monkeypatch.undo()
+    text = "some words of a long text " * 200_000
+    hashes, peak = peak_mb(simhash.shingle_hashes, text, shingle)
+    assert len(hashes) == 1_200_001 - shingle and peak < 60
+
+
 def test_near_copies_find_similar_texts(spark):
     base = " ".join(f"w{i}" for i in range(150))
     near = base.replace("w70 ", "changed ").replace("w10 ", "other ")
